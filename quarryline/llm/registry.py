@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from quarryline.llm import exact_dedup
+from quarryline.llm import exact_dedup, license_scan, maxscore, packing
 
 QUERIES = {
+    "op1_maxscore": maxscore.op1_maxscore,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_pack": packing.op4_pack,
+    "op7_license_scan": license_scan.op7_license_scan,
 }
 
 ORACLES = {
+    "op1_maxscore": maxscore.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
 }
