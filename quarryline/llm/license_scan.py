@@ -4,17 +4,18 @@ Words are runs of a-z, 0-9 and non-ASCII characters after A-Z are lower-cased.
 Two findings are made:
 
 * base: every place where the words of a licence's name stand in a row;
-* the positional rare-token index: the templates below are indexed as postings
-  (word, template, position).  Of each file, the licence words with the
-  highest inverse template frequency are looked up; a posting and a place in
-  the file give the template's start there, and postings that agree on it are
-  counted together.  An alignment with enough agreeing rare words is compared
-  with the whole template and counts if its mandatory phrases stand at their
-  places and most of its words agree.
-
-The index is a constant of a few hundred rows, so its join is a broadcast of a
-proven size.  Only files with a rare word are exploded, only at such words, and
-the votes of a file are summed in each task before they are shuffled.
+* the positional rare-token index over the templates below.  The inverse
+  document frequency of every template word is counted over all documents.
+  Each template is indexed under its rarest words, by position.  Each file's
+  licence words with the highest frequency of that kind are thus looked up:
+  a posting and a place in the file give the place where the template
+  would start, and its other rare words must stand at their places relative to
+  it.  The template is then compared there word by word and counts if its
+  mandatory phrases stand at their places and most of its words agree.
+
+The templates are constants of a few hundred words, so the index is part of the
+expression that scans a file: a file is read twice (once to count, once to
+scan) and never shuffled.  Only the counts of template words are.
 
 Defined results: null and empty texts have no words, labels "" and score 0; a
 repeated row (same id, same text) is reported as often as it occurs; a null id
@@ -26,7 +27,6 @@ from __future__ import annotations
 
 from functools import reduce
 from math import log
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,8 +55,8 @@ TEMPLATES = [
     ("mpl", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software", "public domain"]),
 ]
-RARE_SHARE = 0.5  # a word is rare if at most this share of the templates holds it
-FILE_WORDS = 12  # distinct words of highest IDF that are looked up for a file
+RARE_WORDS = 3  # of each template, those of highest IDF, under which it is indexed
+LEAST_RARE = 2  # of them that must agree
 LEAST_AGREEING = 0.75  # of a template's words
 
 
@@ -65,19 +65,28 @@ def words(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
-def build_index(templates=TEMPLATES, rare_share: float = RARE_SHARE) -> tuple[list[tuple], dict[str, float]]:
-    """Postings (word, template, label, position, words, phrase checks) and the IDF of each rare word."""
-    split = [t.split() for _, t, _ in templates]
-    df = {w: sum(w in s for s in split) for s in split for w in s}
-    idf = {w: log(len(templates) / n) for w, n in df.items() if n <= rare_share * len(templates)}
-    postings = []
-    for i, ((label, _, phrases), body) in enumerate(zip(templates, split, strict=True)):
-        places = []
+def word_idf(docs: DataFrame, text_column: str = "text", templates=TEMPLATES) -> dict[str, float]:
+    """Inverse document frequency of each template word over all documents."""
+    vocabulary = sorted({w for _, t, _ in templates for w in t.split()})
+    present = F.array_intersect(F.array(*map(F.lit, vocabulary)), words(F.col(text_column)))
+    # The empty word counts the documents.
+    counted = docs.select(F.explode(F.concat(present, F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    df = {r["word"]: r["n"] for r in counted.collect()}
+    return {w: log((1 + df.get("", 0)) / (1 + df.get(w, 0))) for w in vocabulary}
+
+
+def build_index(idf: dict[str, float], templates=TEMPLATES, rare_words: int = RARE_WORDS) -> list[tuple[str, list[str], list[int], list[int]]]:
+    """Of each template: label, words, places of its rare words, places of its mandatory phrases."""
+    index = []
+    for label, text, phrases in templates:
+        body = text.split()
+        rare = sorted(set(body), key=lambda w: (-idf[w], w))[:rare_words]
+        must = set()
         for p in (p.split() for p in phrases):
             at = next(k for k in range(len(body)) if body[k : k + len(p)] == p)
-            places += range(at, at + len(p))
-        postings += [(w, i, label, k, body, sorted(set(places))) for k, w in enumerate(body) if w in idf]
-    return postings, idf
+            must |= {*range(at, at + len(p))}
+        index.append((label, body, [body.index(w) for w in rare], sorted(must)))
+    return index
 
 
 def _places(w: Column, phrase: str) -> Column:
@@ -88,26 +97,24 @@ def _places(w: Column, phrase: str) -> Column:
     return F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at)).otherwise(F.array().cast("array<int>"))
 
 
-def alignments(docs: DataFrame, templates=TEMPLATES, rare_share: float = RARE_SHARE, file_words: int = FILE_WORDS, least: float = LEAST_AGREEING) -> DataFrame:
-    """From columns _id, _x, _w: (_id, _x, label, share, at) for each verified alignment."""
-    postings, idf = build_index(templates, rare_share)
-    index = docs.sparkSession.createDataFrame(postings, "word string, template int, label string, place int, body array<string>, must array<int>")
-    vocabulary = sorted(idf, key=lambda w: (-idf[w], w))
-    present = docs.withColumn("_top", F.slice(F.array_intersect(F.array(*map(F.lit, vocabulary)), "_w"), 1, file_words)).where(F.size("_top") > 0)
-    # array_intersect keeps the order of the vocabulary: by falling IDF.
-    occurrences = F.filter(F.transform("_w", lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda o: o["word"].isin(vocabulary))
-    exploded = present.select("_id", "_x", "_w", "_top", F.explode(occurrences).alias("o")).where(F.array_contains("_top", F.col("o.word")))
-    joined = exploded.join(F.broadcast(index), F.col("o.word") == F.col("word")).withColumn("at", F.col("o.i") - F.col("place")).where("at >= 0")
-    # The stretch of the file against the template, word by word.
-    there = F.slice("_w", F.col("at") + 1, F.size("body"))
-    joined = joined.withColumn("agree", F.zip_with("body", there, lambda a, b: F.coalesce(a == b, F.lit(False))))
-    joined = joined.select("_id", "_x", "template", "label", "at", "word", "place", "agree", "must")
-    voted = joined.groupBy("_id", "_x", "template", "at").agg(
-        F.count("*").alias("votes"), F.first("label").alias("label"), F.first("agree").alias("agree"), F.first("must").alias("must")
-    )
-    share = F.size(F.filter("agree", lambda x: x)) / F.size("agree")
-    checked = F.forall("must", lambda k: F.get("agree", k))
-    return voted.where((F.col("votes") >= 2) | (F.size("must") <= 2)).withColumn("share", share).where(checked & (F.col("share") >= least)).select("_id", "_x", "label", "share", "at")
+def best_share(occurrences: Column, w: Column, entry: tuple, least_rare: int = LEAST_RARE, least: float = LEAST_AGREEING) -> Column:
+    """The share of a template's words that stand in place, at its best verified start; 0 without one."""
+    _, body, rare, must = entry
+
+    def starts_by(r: int) -> Column:
+        return F.transform(F.filter(occurrences, lambda o: (o["word"] == body[r]) & (o["i"] >= r)), lambda o: o["i"] - r)
+
+    starts = F.concat(*map(starts_by, rare))
+
+    def agreeing(at: Column, places) -> Column:
+        return reduce(lambda a, b: a + b, [F.when(F.get(w, at + k) == body[k], 1).otherwise(0) for k in places])
+
+    def checked(at: Column) -> Column:
+        found = (agreeing(at, rare) >= min(least_rare, len(rare))) & (agreeing(at, must) == len(must))
+        return F.when(found, agreeing(at, range(len(body))) / float(len(body))).otherwise(0.0)
+
+    share = F.coalesce(F.array_max(F.transform(starts, checked)), F.lit(0.0))
+    return F.when(share >= least, share).otherwise(0.0)
 
 
 def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", templates=TEMPLATES, base: dict[str, str] = BASE) -> DataFrame:
@@ -116,34 +123,29 @@ def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     The score is the best share of a template's words found in place, 1 where a
     base phrase stands; 0 if nothing was found.
     """
-    rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_t"), F.xxhash64(text_column).alias("_x"))
-    anchors = sorted({p.split()[-1] for p in base.values()})
-    held = reduce(or_, [F.contains(F.lower("_t"), F.lit(a)) for a in anchors])
-    split = rows.select("_id", "_x", F.coalesce(held, F.lit(False)).alias("_held"), words(F.col("_t")).alias("_w"))
-    none = F.array().cast("array<int>")
-    found = split.select("_id", "_x", F.size("_w").cast("bigint").alias("n_words"), *[F.when(F.col("_held"), _places(F.col("_w"), p)).otherwise(none).alias(f"_{k}") for k, p in base.items()])
-    places = F.concat(*[F.col(f"_{k}") for k in base])
-    own = F.array_compact(F.array(*[F.when(F.size(f"_{k}") > 0, F.lit(k)) for k in base]))
-    found = found.select("_id", "_x", "n_words", places.alias("_p"), own.alias("_own"))
-
-    _, idf = build_index(templates)
-    # Files that hold no mandatory phrase's rarest word cannot align: leave them unsplit.
-    rarest = sorted({max(p.split(), key=lambda w: (idf.get(w, -1.0), w)) for _, _, ps in templates for p in ps[:1]})
-    maybe = rows.where(ascii_lower(F.col("_t")).rlike("|".join(rarest))).select("_id", "_x", words(F.col("_t")).alias("_w"))
-    best = alignments(maybe, templates).groupBy("_id", "_x").agg(F.array_sort(F.collect_set("label")).alias("_labels"), F.max("share").alias("_share"))
-    best = best.select(F.col("_id").alias("_i"), F.col("_x").alias("_y"), "_labels", "_share")
-
-    joined = found.join(best, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_x") == F.col("_y")), "left")
-    labels = F.array_sort(F.array_distinct(F.concat("_own", F.coalesce("_labels", F.array().cast("array<string>")))))
-    return joined.select(
+    index = build_index(word_idf(docs, text_column, templates), templates)
+    looked_up = sorted({body[r] for _, body, rare, _ in index for r in rare})
+    ends = sorted({p.split()[-1] for p in base.values()})
+    split = docs.select(F.col(id_column).alias("_id"), words(F.col(text_column)).alias("_w"))
+    split = split.select("_id", "_w", F.arrays_overlap("_w", F.array(*map(F.lit, ends))).alias("_named"), F.arrays_overlap("_w", F.array(*map(F.lit, looked_up))).alias("_held"))
+    at = F.filter(F.transform("_w", lambda x, i: F.struct(x.alias("word"), i.alias("i"))), lambda o: o["word"].isin(looked_up))
+    nowhere = F.array().cast("array<int>")
+    found = split.select(
+        "_id", "_w", F.size("_w").cast("bigint").alias("n_words"), F.when(F.col("_held"), at).alias("_o"),
+        *[F.when(F.col("_named"), _places(F.col("_w"), p)).otherwise(nowhere).alias(f"_{k}") for k, p in base.items()],
+    )
+    shares = [F.when(F.col("_o").isNotNull(), best_share(F.col("_o"), F.col("_w"), e)).otherwise(0.0) for e in index]
+    scored = found.select("_id", "n_words", F.concat(*[F.col(f"_{k}") for k in base]).alias("_p"), F.array_compact(F.array(*[F.when(F.size(f"_{k}") > 0, F.lit(k)) for k in base])).alias("_own"), F.array(*shares).alias("_s"))
+    labels = F.filter(F.transform("_s", lambda x, i: F.when(x > 0, F.get(F.array(*[F.lit(e[0]) for e in index]), i))), lambda x: x.isNotNull())
+    return scored.select(
         F.col("_id").alias(id_column),
         "n_words",
         F.size("_p").cast("bigint").alias("n_base"),
         F.array_min("_p").cast("bigint").alias("first_word"),
         F.array_max("_p").cast("bigint").alias("last_word"),
         F.array_join(F.array_sort("_own"), ",").alias("base_labels"),
-        F.array_join(labels, ",").alias("labels"),
-        F.when(F.size("_p") > 0, F.lit(1.0)).otherwise(F.coalesce("_share", F.lit(0.0))).alias("score"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat("_own", labels))), ",").alias("labels"),
+        F.when(F.size("_p") > 0, F.lit(1.0)).otherwise(F.array_max("_s")).alias("score"),
     )
 
 
