@@ -33,6 +33,7 @@ import bisect
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ STEP = 0.1
 BUCKETS = 64
 END_ID = 1
 CACHE_WORDS = 400_000
+CACHE_PIECES = 800_000
+PLAIN_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?%$*#()]*)")
 NOT_SPACES = re.compile("[\x1c-\x1f]")
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -55,35 +58,60 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 # Tokens
 
 
-class WordIds(dict):
-    """Little-endian 32-bit ids of each white-space-free stretch of text.
-
-    The tokenizer splits at white space before anything else and drops it, so
-    the ids of a text are those of its stretches in order.  A few hundred
-    thousand short stretches are kept at a time.
-    """
+class PieceIds(dict):
+    """Little-endian 32-bit ids of pieces of text that the tokenizer takes apart from their neighbours."""
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer = tokenizer
 
-    def __missing__(self, stretch: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(stretch) <= 64:
-            if len(self) >= CACHE_WORDS:
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(piece) <= 64:
+            if len(self) >= CACHE_PIECES:
                 self.clear()
-            self[stretch] = ids
+            self[piece] = ids
+        return ids
+
+
+class StretchIds(dict):
+    """The same for whole stretches of text between white space.
+
+    The tokenizer drops white space, lower-cases, and parts letters from
+    punctuation.  So a word with punctuation behind it, the usual case, is made
+    of the ids of its lower-case letters and of the punctuation.
+    """
+
+    def __init__(self, pieces: PieceIds) -> None:
+        self.pieces = pieces
+
+    def __missing__(self, stretch: str) -> bytes:
+        if len(stretch) > 64:
+            return self.pieces[stretch]
+        m = PLAIN_WORD.fullmatch(stretch)
+        if not m:
+            ids = self.pieces[stretch]
+        elif m[2]:
+            ids = self.pieces[m[1].lower()] + self.pieces[m[2]]
+        else:
+            ids = self.pieces[m[1].lower()]
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[stretch] = ids
         return ids
 
 
+@lru_cache(1)
 def word_encoder(path: str) -> Callable[[str], bytes]:
+    """Text to the bytes of its ids; kept for the life of a worker process, as its caches are."""
     from tokenizers import Tokenizer
 
-    known = WordIds(Tokenizer.from_file(path))
+    pieces = PieceIds(Tokenizer.from_file(path))
+    known = StretchIds(pieces)
 
     def encode(text: str) -> bytes:
         # str.split() also splits at these four, which the tokenizer keeps.
         if NOT_SPACES.search(text):
-            return known.__missing__(text)
+            return pieces[text]
         return b"".join(map(known.__getitem__, text.split()))
 
     return encode
