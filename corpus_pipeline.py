@@ -1,8 +1,71 @@
-"""A corpus pipeline made of the operators in ``quarryline.llm``."""
+"""A corpus pipeline made of the operators in ``quarryline.llm``.
 
-STAGES = []
+Documents whose language is not recognised go; of equal texts one stays; of each
+group of near copies one stays; sources are mixed to target weights; what
+comes out is packed into training sequences.  Every stage but the last returns
+the columns of ``documents``; each is written to the shared folder and read
+back by the next, so a lost executor costs the stage at hand only.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarryline.llm import exact_dedup, language_id, mixing, ngram_join, packing
+from quarryline.llm.common import materialise
+
+# Texts without a letter, and those the model gives less than this, are rejected.
+LEAST_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a recognised language; the model learns from the documents it is given."""
+    model = language_id.fit(language_id.learnable(docs))
+    known = language_id.predict(docs, model).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return known.select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text."""
+    return exact_dedup.survivors(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each connected group of near copies, the document with the smallest id.
+
+    Documents without an id in a group without any stay.
+    """
+    groups = ngram_join.ngram_join(docs)
+    lost = groups.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_lost")).distinct()
+    return docs.join(materialise(lost, "lost"), F.col("doc_id").eqNullSafe(F.col("_lost")), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies by source, shuffled; a document may come several times or not at all."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in training sequences."""
+    return packing.pack(docs, packing.tokenizer_file())
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_copies),
+    ("ngram_join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+# SQL cannot train or apply the first stage's model; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the rows of the last."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
