@@ -16,13 +16,18 @@ inverted index, with DivideSkip's split into short and long lists:
    bucket of n-grams as arrays; each task first merges its own lists, so that
    a list sends one posting a task, however many documents hold the n-gram.
    In each bucket the lists of all tasks are merged.
-3. Leaders.  Every list names a leader, its smallest key, and each member is
-   verified against it: a number of pairs no larger than the index.
-   Connected components join what is verified.
-4. The rest.  In lists whose members are not all connected by then, pairs of
-   different components are counted over all lists.  With T and the sizes, the
-   count of a pair has a least value below which its long lists cannot
-   make up for it.
+3. Leaders.  Every list names a leader: the member with the fewest n-grams of
+   short lists, which in a large group of near copies is one with few edits of
+   its own, so that most others link to it.  Each member is verified against its
+   lists' leaders: a number of pairs no larger than the index.  Connected
+   components join what is verified.
+4. The rest.  Lists whose members are not all connected by then are gathered
+   around their smallest member, each class with its n-grams in such lists.
+   There, every class outside the largest component merges its lists and counts
+   how often it meets each other class.  With T and the sizes, the count of a
+   pair has a least value, below which the n-grams that are not indexed cannot
+   make up for it; only pairs of different components that reach it come out.
+   A large gathering is split into blocks of queries and blocks of candidates.
 5. Verification, for 3 and 4: pairs whose histograms bound the overlap below T
    go.  For the others, the sets are computed again from the texts and each
    leader is searched against its candidates by DivideSkip: the candidates'
@@ -175,18 +180,18 @@ def scan_sets(docs: DataFrame) -> DataFrame:
 # Short lists
 
 
-def indexed_grams(s: np.ndarray, long_grams: np.ndarray, long_times: np.ndarray) -> np.ndarray:
-    """The first |s|/4 + 1 n-grams by (list length, hash)."""
+def indexed_grams(s: np.ndarray, long_grams: np.ndarray, long_times: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first |s|/4 + 1 n-grams by (list length, hash), and how many of all have short lists."""
     most = len(s) // 4 + 1
     if not len(long_grams):
-        return s[:most]
+        return s[:most], len(s)
     at = np.minimum(np.searchsorted(long_grams, s), len(long_grams) - 1)
     is_long = long_grams[at] == s
     short = s[~is_long]
     if len(short) >= most:
-        return short[:most]
+        return short[:most], len(short)
     rest, times = s[is_long], long_times[at[is_long]]
-    return np.concatenate([short, rest[np.lexsort((rest, times))][: most - len(short)]])
+    return np.concatenate([short, rest[np.lexsort((rest, times))][: most - len(short)]]), len(short)
 
 
 def merge_lists(grams: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -202,10 +207,10 @@ def merge_lists(grams: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.
     return grams[starts], members[starts], np.flatnonzero(again), np.stack([grams.view(np.int64), leader, members], 1) if len(grams) else np.zeros((0, 3), np.int64)
 
 
-BLOCKS = "bucket int, grams binary, members binary, keys binary, sizes binary, gram bigint, leader binary, leader_n int, member binary, member_n int"
-_BLOCK_SCHEMA = pa.schema([("bucket", pa.int32()), ("grams", pa.binary()), ("members", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("gram", pa.int64()), ("leader", pa.binary()), ("leader_n", pa.int32()), ("member", pa.binary()), ("member_n", pa.int32())])
+BLOCKS = "bucket int, grams binary, members binary, keys binary, sizes binary, shorts binary, gram bigint, leader binary, leader_n int, member binary, member_n int"
+_BLOCK_SCHEMA = pa.schema([("bucket", pa.int32()), ("grams", pa.binary()), ("members", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("shorts", pa.binary()), ("gram", pa.int64()), ("leader", pa.binary()), ("leader_n", pa.int32()), ("member", pa.binary()), ("member_n", pa.int32())])
 LISTS = "gram bigint, leader binary, leader_n int, member binary, member_n int"
-_LIST_SCHEMA = pa.schema(list(_BLOCK_SCHEMA)[5:])
+_LIST_SCHEMA = pa.schema(list(_BLOCK_SCHEMA)[6:])
 
 
 def _list_rows(grams: np.ndarray, leaders: np.ndarray, members: np.ndarray, keys: np.ndarray, sizes: np.ndarray) -> list[pa.Array]:
@@ -213,12 +218,13 @@ def _list_rows(grams: np.ndarray, leaders: np.ndarray, members: np.ndarray, keys
     return [pa.array(grams.view(np.int64)), key.take(pa.array(leaders)), pa.array(sizes[leaders], pa.int32()), key.take(pa.array(members)), pa.array(sizes[members], pa.int32())]
 
 
-def _merged(grams: np.ndarray, members: np.ndarray, keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+def _merged(grams: np.ndarray, members: np.ndarray, keys: np.ndarray, sizes: np.ndarray, shorts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
     """Leaders' postings of each list, and rows of LISTS for the other members.
 
-    Members are places in keys; lists are merged by the keys' order.
+    Members are places in keys; a list's leader has the fewest n-grams of short
+    lists, then the smallest key.
     """
-    by_key = np.argsort(keys)
+    by_key = np.array(sorted(range(len(keys)), key=lambda i: (shorts[i], keys[i])), np.int64)
     rank = np.empty(len(keys), np.int64)
     rank[by_key] = np.arange(len(keys))
     first_grams, first, others, rows = merge_lists(grams, rank[members])
@@ -231,16 +237,16 @@ def index_blocks(docs: DataFrame, long_grams: np.ndarray, long_times: np.ndarray
     shared = docs.sparkSession.sparkContext.broadcast((long_grams, long_times))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, places, parts, sizes, size = WordHashes(), {}, [], [], 0
+        known, places, parts, sizes, shorts, size = WordHashes(), {}, [], [], [], 0
 
         def flush():
-            keys, ns = np.array(list(places), object), np.array(sizes, np.int64)
+            keys, ns, few = np.array(list(places), object), np.array(sizes, np.int64), np.array(shorts, np.int64)
             grams = np.concatenate(parts)
             members = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            grams, members, rows = _merged(grams, members, keys, ns)
+            grams, members, rows = _merged(grams, members, keys, ns, few)
             n = len(rows[0])
             if n:
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary()) for _ in range(4)], *rows], schema=_BLOCK_SCHEMA)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary()) for _ in range(5)], *rows], schema=_BLOCK_SCHEMA)
             bucket = (grams % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -248,9 +254,9 @@ def index_blocks(docs: DataFrame, long_grams: np.ndarray, long_times: np.ndarray
             for k in np.flatnonzero(np.diff(cuts)):
                 at = order[cuts[k] : cuts[k + 1]]
                 own, local = np.unique(members[at], return_inverse=True)
-                out.append((int(k), grams[at].tobytes(), local.astype("<u4").tobytes(), b"".join(keys[own]), ns[own].astype("<u4").tobytes()))
+                out.append((int(k), grams[at].tobytes(), local.astype("<u4").tobytes(), b"".join(keys[own]), ns[own].astype("<u4").tobytes(), few[own].astype("<u4").tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [f.type for f in _BLOCK_SCHEMA][:5], strict=True)] + [pa.nulls(len(out), f.type) for f in list(_BLOCK_SCHEMA)[5:]], schema=_BLOCK_SCHEMA)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [f.type for f in _BLOCK_SCHEMA][:6], strict=True)] + [pa.nulls(len(out), f.type) for f in list(_BLOCK_SCHEMA)[6:]], schema=_BLOCK_SCHEMA)
 
         for b in batches:
             for _, text in texts_of(b, 0):
@@ -258,12 +264,14 @@ def index_blocks(docs: DataFrame, long_grams: np.ndarray, long_times: np.ndarray
                 if not len(s) or (key := set_key(s)) in places:
                     continue
                 places[key] = len(parts)
-                parts.append(indexed_grams(s, *shared.value))
+                grams, few = indexed_grams(s, *shared.value)
+                parts.append(grams)
                 sizes.append(len(s))
+                shorts.append(few)
                 size += len(parts[-1])
                 if size >= FLUSH_HASHES // 3:
                     yield from flush()
-                    places, parts, sizes, size = {}, [], [], 0
+                    places, parts, sizes, shorts, size = {}, [], [], [], 0
         if parts:
             yield from flush()
 
@@ -274,12 +282,13 @@ def merge_buckets(blocks: DataFrame) -> DataFrame:
     """Rows of LISTS for the members of lists that several tasks share."""
 
     def run(table: pa.Table) -> pa.Table:
-        grams, members, keys, sizes, base = [], [], [], [], 0
-        for g, m, k, n in zip(*[table[c].to_pylist() for c in ("grams", "members", "keys", "sizes")], strict=True):
+        grams, members, keys, sizes, shorts, base = [], [], [], [], [], 0
+        for g, m, k, n, f in zip(*[table[c].to_pylist() for c in ("grams", "members", "keys", "sizes", "shorts")], strict=True):
             grams.append(np.frombuffer(g, np.uint64))
             members.append(np.frombuffer(m, "<u4").astype(np.int64) + base)
             keys.append(np.array([k[i : i + 16] for i in range(0, len(k), 16)], object))
             sizes.append(np.frombuffer(n, "<u4").astype(np.int64))
+            shorts.append(np.frombuffer(f, "<u4").astype(np.int64))
             base += len(keys[-1])
         grams, members = np.concatenate(grams), np.concatenate(members)
         # Lists of one posting, most of them, need no merging.
@@ -289,9 +298,8 @@ def merge_buckets(blocks: DataFrame) -> DataFrame:
         same[:-1] |= same[1:]
         at = order[same]
         own, local = np.unique(members[at], return_inverse=True)
-        names, n = np.concatenate(keys)[own], np.concatenate(sizes)[own]
-        # One class that several tasks met has one name.
-        _, rows = _merged(grams[at], local, names, n)[1:]
+        # One class that several tasks met has one key, by which it is left out below.
+        _, rows = _merged(grams[at], local, np.concatenate(keys)[own], np.concatenate(sizes)[own], np.concatenate(shorts)[own])[1:]
         out = pa.Table.from_arrays(rows, schema=_LIST_SCHEMA)
         return out.filter(pc.not_equal(out["leader"], out["member"]))
 
@@ -421,6 +429,80 @@ def components(edges: DataFrame) -> DataFrame:
         current = new
 
 
+# The rest
+
+
+def meetings(queries: tuple, candidates: tuple, most: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (query, candidate) of pairs of different components that meet often enough.
+
+    Both sides hold sizes, components and n-grams (flat, with a length each).
+    The lists of many queries are merged at a time, by counting equal pairs.
+    """
+    (m, r, g, lengths), (n, roots, grams, own) = queries, candidates
+    who = np.repeat(np.arange(len(n)), own)
+    order = np.argsort(grams, kind="stable")
+    grams, who = grams[order], who[order]
+    first, last = np.searchsorted(grams, g), np.searchsorted(grams, g, "right")
+    asks = np.repeat(np.arange(len(m)), lengths)
+    work = np.cumsum(last - first)
+    ends = np.cumsum(lengths)
+    a = 0
+    while a < len(m):
+        # As many whole queries as stay within ``most`` list entries, one at least.
+        done = work[ends[a - 1] - 1] if a and ends[a - 1] else 0
+        b = max(a + 1, int(np.searchsorted(work[ends - 1], done + most, "right")))
+        x, y = ends[a - 1] if a else 0, ends[b - 1]
+        count = last[x:y] - first[x:y]
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[x:y], count)
+        code, times = np.unique(np.repeat(asks[x:y], count) * len(n) + who[at], return_counts=True)
+        i, j = code // len(n), code % len(n)
+        larger, smaller = np.maximum(m[i], n[j]), np.minimum(m[i], n[j])
+        # The class whose index ends first has ceil(3/4 n) - 1 n-grams beyond it.
+        enough = (times >= least_overlap(m[i], n[j]) - -(-3 * larger // 4) + 1) & (4 * smaller >= 3 * larger)
+        i, j = i[enough], j[enough]
+        other = r[i] != roots[j]
+        yield i[other], j[other]
+        a = b
+
+
+def open_pairs(named: DataFrame, query_rows: int = 2048, candidate_rows: int = 16384) -> DataFrame:
+    """Pairs (a, b) worth verifying, from rows (gram, key, n, root, head) of open lists.
+
+    Small gatherings share a task with others, which adds no pairs: a class
+    brings all its n-grams of open lists, so a pair's count is the same anywhere.
+    """
+    here = named.select("head", "key", "n", "root").distinct()
+    grams = named.groupBy(F.col("key").alias("_key")).agg(F.collect_list("gram").alias("grams"))
+    by_root = here.groupBy("head", "root").agg(F.count("*").alias("c"))
+    size = by_root.groupBy(F.col("head").alias("_head")).agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.sum("c").alias("all"), F.max("c").alias("top"))
+    size = size.select("_head", "most", F.ceil((F.col("all") - F.col("top")) / query_rows).cast("int").alias("q"), F.ceil(F.col("all") / candidate_rows).cast("int").alias("c"))
+    sized = materialise(here.join(size, F.col("head") == F.col("_head")).where("q > 0").select("head", "key", "n", "root", "q", "c", (F.col("root") != F.col("most")).alias("asks")), "sized")
+    shares = max(1, math.ceil(sized.count() / query_rows))
+    small = (F.col("q") == 1) & (F.col("c") == 1)
+    place = F.when(small, F.pmod(F.xxhash64("head"), F.lit(shares)).cast("string")).otherwise(F.hex("head"))
+    rows = sized.groupBy(place.alias("h"), "key").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.max("asks").alias("asks"), F.max("q").alias("q"), F.max("c").alias("c"))
+    rows = materialise(rows.join(grams, F.col("key") == F.col("_key")).drop("_key"), "gathered")
+    part = lambda n, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("asks").select(F.col("h").alias("h1"), part("q", 1).alias("i1"), every("c").alias("j1"), F.col("key").alias("key1"), F.col("n").alias("n1"), F.col("root").alias("root1"), F.col("grams").alias("grams1"))
+    right = rows.select("h", every("q").alias("i"), part("c", 2).alias("j"), "key", "n", "root", "grams")
+
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = []
+        if a.num_rows and b.num_rows:
+            roots = pa.chunked_array([*a["root1"].chunks, *b["root"].chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
+            sides = []
+            for t, end, r in ((a, "1", roots[: a.num_rows]), (b, "", roots[a.num_rows :])):
+                g = t["grams" + end].combine_chunks()
+                sides.append((t["n" + end].to_numpy().astype(np.int64), r, g.flatten().to_numpy(), pc.list_value_length(g).to_numpy().astype(np.int64)))
+            x, y = a["key1"].to_pylist(), b["key"].to_pylist()
+            for i, j in meetings(*sides):
+                found += [(min(x[p], y[q]), max(x[p], y[q])) for p, q in zip(i.tolist(), j.tolist(), strict=True)]
+        return pa.table({"a": pa.array([p for p, _ in found], pa.binary()), "b": pa.array([q for _, q in found], pa.binary())})
+
+    return left.groupBy("h1", "i1", "j1").cogroup(right.groupBy("h", "i", "j")).applyInArrow(search, "a binary, b binary")
+
+
 # The join
 
 
@@ -439,25 +521,19 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     index = materialise(index_blocks(docs, long_grams[order], long_times[order], buckets), "index")
     own = index.where("gram is not null").select("gram", "leader", "leader_n", "member", "member_n")
-    lists = materialise(own.unionByName(merge_buckets(index.where("bucket is not null").select("bucket", "grams", "members", "keys", "sizes"))), "lists")
+    lists = materialise(own.unionByName(merge_buckets(index.where("bucket is not null").select("bucket", "grams", "members", "keys", "sizes", "shorts"))), "lists")
 
     fits = (F.least("leader_n", "member_n") * 4) >= (F.greatest("leader_n", "member_n") * 3)
-    led = lists.where(fits).select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct()
+    led = materialise(lists.where(fits).select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct(), "led")
     found = materialise(verified(led, classes, docs), "links")
     roots = materialise(components(found), "roots")
 
     # Lists that still hold several components.
     members = lists.select("gram", F.col("leader").alias("key"), F.col("leader_n").alias("n")).unionByName(lists.select("gram", F.col("member").alias("key"), F.col("member_n").alias("n"))).distinct()
     named = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    open_lists = named.groupBy("gram").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high").select("gram")
-    named = materialise(named.join(open_lists, "gram"), "open")
-    x = named.select("gram", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
-    y = named.select("gram", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"))
-    near = (F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & (F.least("n_a", "n_b") * 4 >= F.greatest("n_a", "n_b") * 3)
-    counted = x.join(y, "gram").where(near).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    # Beyond the indexed n-grams, the class whose index ends first has ceil(3/4 n) - 1 left.
-    least = F.ceil((F.col("n_a") + F.col("n_b")) * 3 / 7) - F.ceil(F.greatest("n_a", "n_b") * 3 / 4) + 1
-    rest = counted.where(F.col("c") >= least).join(led, ["a", "b"], "left_anti").join(led.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    open_lists = named.groupBy("gram").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.min("key").alias("head")).where("_low < _high").select("gram", "head")
+    rest = open_pairs(materialise(named.join(open_lists, "gram"), "open")).distinct()
+    rest = rest.join(led, ["a", "b"], "left_anti").join(led.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     more = materialise(verified(rest, classes, docs), "links")
     return rows, classes, found.unionByName(more)
 
