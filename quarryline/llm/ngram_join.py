@@ -432,7 +432,7 @@ def components(edges: DataFrame) -> DataFrame:
 # The rest
 
 
-def meetings(queries: tuple, candidates: tuple, most: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def meetings(queries: tuple, candidates: tuple, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (query, candidate) of pairs of different components that meet often enough.
 
     Both sides hold sizes, components and n-grams (flat, with a length each).
