@@ -29,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import ascii_lower
+from quarryline.llm.common import ascii_lower, materialise
 
 SALTS = 64
 _KEY = ["_sha", "_len", "_xx"]
@@ -67,14 +67,17 @@ def survivors(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     Losing rows are named by id and digest.  A row whose id and text both
     repeat stays once.
     """
-    result = exact_dedup(docs, id_column, text_column, normalise, salts).select(F.col(id_column).alias("_i"), F.col("text_sha256").alias("_s"), "kept", "group_size")
-    lost = result.where(~F.col("kept")).select("_i", "_s").distinct()
-    twice = result.where("kept and group_size > 1").groupBy("_i", "_s").count().where("count > 1").select("_i", "_s")
+    result = exact_dedup(docs, id_column, text_column, normalise, salts).where("group_size > 1")
+    copies = materialise(result.select(F.col(id_column).alias("_i"), F.col("text_sha256").alias("_s"), "kept"), "copies")
+    lost = copies.where(~F.col("kept")).select("_i", "_s").distinct()
     marked = docs.withColumn("_sha", F.sha2(normalise(F.coalesce(F.col(text_column), F.lit(""))), 256)).withColumn("_id", F.col(id_column))
     same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_sha") == F.col("_s"))
-    kept = marked.join(lost, same, "left_anti")
-    once = kept.join(twice, same, "left_semi").dropDuplicates(["_id", "_sha"])
-    return kept.join(twice, same, "left_anti").unionByName(once).select(*docs.columns)
+    left = marked.join(lost, same, "left_anti")
+    twice = copies.where("kept").groupBy("_i", "_s").count().where("count > 1").select("_i", "_s")
+    if not twice.isEmpty():
+        once = left.join(twice, same, "left_semi").dropDuplicates(["_id", "_sha"])
+        left = left.join(twice, same, "left_anti").unionByName(once)
+    return left.select(*docs.columns)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
