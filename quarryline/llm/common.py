@@ -12,6 +12,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Capital or title-case letters outside A-Z: those that lower() would also change.
 OTHER_CAPITALS = r"[[\p{IsUppercase}\p{Lt}]&&[^A-Z]]"
 
+# Paths of the tables written so far.
+_WRITTEN: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
@@ -35,9 +38,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that this process has written, once their results are no longer needed."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only.
 
