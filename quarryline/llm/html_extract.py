@@ -65,8 +65,8 @@ def parse(page: str) -> list[tuple]:
     """("text", run, in article, in link) and ("tag", name, in article) in page order, cut elements left out."""
     out: list[tuple] = []
     stack: list[tuple[str, bool]] = []  # open elements: name, whether it starts a cut
-    cut = content = link = 0
-    at = 0
+    opened: Counter[str] = Counter()  # how many of each name
+    cut = content = link = at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at and not cut:
             out.append(("text", page[at : m.start()], content > 0, link > 0))
@@ -77,26 +77,27 @@ def parse(page: str) -> list[tuple]:
             continue
         name = m[3].lower()
         if m[2]:
-            if any(n == name for n, _ in stack):
-                while stack:
+            if opened[name]:
+                n = ""
+                while n != name:
                     n, c = stack.pop()
+                    opened[n] -= 1
                     cut -= c
-                    content -= n in CONTENT and not cut
-                    link -= n == "a" and not cut
-                    if n == name:
-                        break
+                    content -= n in CONTENT and not cut and not c
+                    link -= n == "a" and not cut and not c
             if not cut:
                 out.append(("tag", name, content > 0))
             continue
         if name in ENDS_PARAGRAPH and stack:
-            _close(stack, out, "p", ENDS_PARAGRAPH - {"p"}, cut, content > 0)
+            _close(stack, opened, out, "p", ENDS_PARAGRAPH - {"p"}, cut, content > 0)
         if name in ("li", "tr", "td", "th", "option", "dt", "dd"):
-            _close(stack, out, name, frozenset(("ul", "ol", "table", "dl", "menu", "nav", "article", "main", "aside", "div", "section")), cut, content > 0)
+            _close(stack, opened, out, name, frozenset(("ul", "ol", "table", "dl", "menu", "nav", "article", "main", "aside", "div", "section")), cut, content > 0)
         starts = not cut and _is_cut(name, m[4], content > 0)
         if not cut and not starts:
             out.append(("tag", name, content > 0))
         if name not in VOID and not m[4].endswith("/"):
             stack.append((name, starts))
+            opened[name] += 1
             content += name in CONTENT and not cut and not starts
             link += name == "a" and not cut and not starts
             cut += starts
@@ -105,13 +106,16 @@ def parse(page: str) -> list[tuple]:
     return out
 
 
-def _close(stack: list, out: list, name: str, stops: frozenset, cut: int, in_content: bool) -> None:
+def _close(stack: list, opened: Counter, out: list, name: str, stops: frozenset, cut: int, in_content: bool) -> None:
     """Ends an open element of that name, unless one of ``stops`` or a cut lies in between."""
+    if not opened[name]:
+        return
     for i in range(len(stack) - 1, -1, -1):
         n, c = stack[i]
         if n == name and not c:
             # Formatting left open inside it goes with it; links are kept apart.
             if not any(x == "a" or y for x, y in stack[i:]):
+                opened.subtract(x for x, _ in stack[i:])
                 del stack[i:]
                 if not cut:
                     out.append(("tag", name, in_content))

@@ -54,6 +54,15 @@ def test_odd_input(spark, weights):
     assert html_extract(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
 
 
+def test_comments_marked_up_as_articles(weights):
+    page = "<main><article><p>The story has a number of words.</p></article><article class='comment'><p>A reader writes some words.</p></article><article><p>And the story goes on with more.</p></article></main><div>Not this, ever, at all.</div>"
+    assert extract(page, weights) == "The story has a number of words.\nAnd the story goes on with more."
+
+
+def test_markup_that_never_closes_takes_linear_time(weights):
+    assert extract("<article>" + "<b><i>x " * 50_000 + "</u></p>" * 50_000, weights) == ("x " * 50_000).strip()
+
+
 @pytest.mark.parametrize("scores", [[1, -2, 3, 4, -1, 5], [-1, -2], [], [2, -1, 2, -5, 3.5], [0, 0, 1]])
 def test_stretch_equals_brute_force(scores):
     a, b = best_stretch(scores)
