@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -51,6 +52,19 @@ def release(spark: SparkSession) -> int:
     return n
 
 
+def give_back_memory() -> None:
+    """Returns freed memory of a Python worker to the system: idle workers live on beside the next stage."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only.
 

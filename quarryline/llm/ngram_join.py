@@ -58,7 +58,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import materialise
+from quarryline.llm.common import give_back_memory, materialise
 
 WORDS = 5
 LONG_LISTS = 1_000_000  # entries of the broadcast table of long lists: 12 bytes each
@@ -173,6 +173,8 @@ def scan_sets(docs: DataFrame) -> DataFrame:
                         held, size = {}, 0
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(cells, pa.binary()), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64())], schema=last)
         yield repeated()
+        held = known = None
+        give_back_memory()
 
     return docs.mapInArrow(run, SCAN)
 
@@ -274,6 +276,8 @@ def index_blocks(docs: DataFrame, long_grams: np.ndarray, long_times: np.ndarray
                     places, parts, sizes, shorts, size = {}, [], [], [], 0
         if parts:
             yield from flush()
+        places = parts = known = None
+        give_back_memory()
 
     return docs.select("text").mapInArrow(run, BLOCKS)
 

@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -40,16 +41,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import materialise
+from quarryline.llm.common import give_back_memory, materialise
 
 CAPACITY = 4096
 ROUNDS = 600
 STEP = 0.1
 BUCKETS = 64
 END_ID = 1
-CACHE_WORDS = 400_000
-CACHE_PIECES = 800_000
-PLAIN_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?%$*#()]*)")
+CACHE_WORDS = 300_000
+CACHE_PIECES = 300_000
+LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+MARKS = ".,;:!?%$*#()"
 NOT_SPACES = re.compile("[\x1c-\x1f]")
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -59,13 +62,27 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 
 
 class PieceIds(dict):
-    """Little-endian 32-bit ids of pieces of text that the tokenizer takes apart from their neighbours."""
+    """Little-endian 32-bit ids of pieces of text that the tokenizer takes apart from their neighbours.
+
+    Lower-case letters go straight to the tokenizer's merges, written as it
+    writes bytes: its normaliser and splitter would not change them.
+    """
 
     def __init__(self, tokenizer) -> None:
-        self.tokenizer = tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer, self.merges = tokenizer, tokenizer.model.tokenize
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = str.maketrans({c: spell(c)[0][0] for c in map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)])})
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        if piece.isascii() and piece.isalpha() and piece.islower():
+            found = [t.id for t in self.merges(piece)]
+        elif LETTERS.fullmatch(piece):
+            found = [t.id for t in self.merges(piece.translate(self.spelling))]
+        else:
+            found = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= 64:
             if len(self) >= CACHE_PIECES:
                 self.clear()
@@ -84,28 +101,34 @@ class StretchIds(dict):
     def __init__(self, pieces: PieceIds) -> None:
         self.pieces = pieces
 
-    def __missing__(self, stretch: str) -> bytes:
-        if len(stretch) > 64:
+    def ids(self, stretch: str) -> bytes:
+        word = stretch.rstrip(MARKS)
+        if not word.isalpha() or not (word.isascii() or WORD.fullmatch(word)):
             return self.pieces[stretch]
-        m = PLAIN_WORD.fullmatch(stretch)
-        if not m:
-            ids = self.pieces[stretch]
-        elif m[2]:
-            ids = self.pieces[m[1].lower()] + self.pieces[m[2]]
-        else:
-            ids = self.pieces[m[1].lower()]
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[stretch] = ids
+        ids = self.pieces[word.lower()]
+        return ids + self.pieces[stretch[len(word) :]] if len(word) < len(stretch) else ids
+
+    def __missing__(self, stretch: str) -> bytes:
+        ids = self.ids(stretch)
+        if len(stretch) <= 64:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[stretch] = ids
         return ids
 
 
 @lru_cache(1)
-def word_encoder(path: str) -> Callable[[str], bytes]:
-    """Text to the bytes of its ids; kept for the life of a worker process, as its caches are."""
+def piece_ids(path: str) -> PieceIds:
+    """Kept for the life of a worker process."""
     from tokenizers import Tokenizer
 
-    pieces = PieceIds(Tokenizer.from_file(path))
+    return PieceIds(Tokenizer.from_file(path))
+
+
+@lru_cache(1)
+def word_encoder(path: str) -> Callable[[str], bytes]:
+    """Text to the bytes of its ids; kept for the life of a worker process, as its caches are."""
+    pieces = piece_ids(path)
     known = StretchIds(pieces)
 
     def encode(text: str) -> bytes:
@@ -132,6 +155,7 @@ def tokenise_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back_memory()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, PIECES)
 
@@ -265,7 +289,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, rounds:
     # At most (capacity x buckets) rows reach the driver.
     counts = pieces.groupBy("length", "_bucket").agg(F.count("*").alias("n")).orderBy("length", "_bucket").collect()
     histogram: dict[int, int] = {}
-    before: dict[tuple[int, int], int] = {}
+    before = np.zeros((capacity + 1, buckets), np.int64)
     for r in counts:
         before[r["length"], r["_bucket"]] = histogram.get(r["length"], 0)
         histogram[r["length"]] = histogram.get(r["length"], 0) + r["n"]
@@ -277,8 +301,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, rounds:
         for b in batches:
             length, bucket, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_bucket", "_rank"))
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            start = np.array([before[l, k] for l, k in zip(length.tolist(), bucket.tolist(), strict=True)], np.int64)
-            rank = rank + start
+            rank = rank + before[length, bucket]
             order = np.argsort(length, kind="stable")
             cuts = np.flatnonzero(np.diff(length[order])) + 1
             for rows in np.split(order, cuts) if len(order) else []:
