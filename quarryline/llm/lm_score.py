@@ -44,30 +44,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import materialise
+from quarryline.llm.common import give_back_memory, materialise
 from quarryline.llm.language_id import remainder
-from quarryline.llm.packing import tokenizer_file, word_encoder
+from quarryline.llm.packing import StretchIds, piece_ids, tokenizer_file, word_encoder
 
-CHUNK_WORDS = 300_000  # distinct words of a chunk
-CHUNK_IDS = 8 << 20
+CHUNK_IDS = 2 << 20  # ids of a chunk, which is one row of a few megabytes
+CACHE_WORDS = 350_000  # words that a task keeps ids for
 BUCKETS = 48
-WINDOW, OVERLAP = 32, 8
-DIM, CLUSTERS = 16, 44
+WINDOW, OVERLAP = 32, 4
+DIM, CLUSTERS = 16, 28
 SAMPLE_DOCS = 400
 STEPS, BATCH_WINDOWS = 300, 256
 REFINE_SHARE = 1 / 64
-SCORE_WINDOWS = 2048
+SCORE_WINDOWS = 1024
 SMOOTHING = 0.1
 
 
 # Packing documents: word indices, subword ids, vocabularies
 
 
-class Vocabulary(dict):
-    """Words of a chunk, numbered in order of appearance."""
+class Words(dict):
+    """Numbers of lower-case words, with the subword ids and the hash of each.
+
+    The tokenizer splits at white space, so a text's ids are those of its words.
+    """
+
+    def __init__(self, stretches: StretchIds) -> None:
+        self.stretches, self.ids, self.hashes = stretches, [], []
 
     def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
+        import xxhash
+
+        n = self[word] = len(self.ids)
+        self.ids.append(self.stretches.ids(word.decode()))
+        self.hashes.append(xxhash.xxh64_intdigest(word))
         return n
 
 
@@ -87,55 +97,63 @@ def _expand(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
+def _chunk_row(name: str, known: Words, rows: list[tuple]) -> list:
+    """The values of PACKED, from rows (doc_id, learnt from, words, times, ids)."""
+    train = np.array([r[1] for r in rows], bool)
+    counts, seen = np.zeros(len(known.ids), np.int64), np.zeros(len(known.ids), bool)
+    for r in rows:
+        seen[r[2]] = True
+        if r[1]:
+            counts[r[2]] += r[3]
+    # Words of this chunk, renumbered without gaps; the order stays.
+    used = np.flatnonzero(seen)
+    number = np.cumsum(seen) - 1
+    n = np.array([len(r[2]) for r in rows], "<u4")
+    steps = np.concatenate([np.diff(number[r[2]], prepend=0).astype("<u4") for r in rows])
+    ids = np.concatenate([r[4] for r in rows])
+    n_ids = np.array([len(r[4]) for r in rows], "<u4")
+    id_counts = np.bincount(ids[np.repeat(train, n_ids)], minlength=1)
+    own = np.flatnonzero(id_counts)
+    return [
+        name, [r[0] for r in rows], train.tobytes(), np.array([r[3].sum() for r in rows], "<u4").tobytes(), n.tobytes(), _squeeze(steps), _squeeze(np.concatenate([r[3] for r in rows])),
+        n_ids.tobytes(), _squeeze(ids), np.array(known.hashes, np.uint64)[used].tobytes(), counts[used].astype("<u4").tobytes(), np.stack([own, id_counts[own]]).astype("<u4").tobytes(),
+    ]
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """A row a chunk of documents; columns doc_id, text and learn are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
         from pyspark import TaskContext
 
-        encode = word_encoder(tokenizer_path)
-        part = TaskContext.get().partitionId()
-        made = 0
-        known, rows = Vocabulary(), []
-        n_ids = 0
+        part, made = TaskContext.get().partitionId(), 0
+        known, rows, held = Words(StretchIds(piece_ids(tokenizer_path))), [], 0
 
         def flush():
-            nonlocal known, rows, n_ids, made
-            train = np.array([r[1] for r in rows], bool)
-            counts = np.zeros(len(known), np.int64)
-            ids = np.concatenate([r[4] for r in rows])
-            for r in rows:
-                if r[1]:
-                    counts[r[2]] += r[3]
-            own = ids[np.repeat(train, [len(r[4]) for r in rows])]
-            seen, times = np.unique(own, return_counts=True)
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
-            # Word indices rise within a document: store steps.
-            steps = np.concatenate([np.diff(r[2], prepend=0) for r in rows])
-            out = [
-                f"{part}-{made}", [r[0] for r in rows], train.tobytes(), np.array([r[3].sum() for r in rows], "<u4").tobytes(), np.array([len(r[2]) for r in rows], "<u4").tobytes(),
-                _squeeze(steps.astype("<u4")), _squeeze(np.concatenate([r[3] for r in rows]).astype("<u4")), np.array([len(r[4]) for r in rows], "<u4").tobytes(), _squeeze(ids),
-                hashes.tobytes(), counts.astype("<u4").tobytes(), np.stack([seen.astype("<u4"), times.astype("<u4")]).tobytes(),
-            ]
-            known, rows, n_ids, made = Vocabulary(), [], 0, made + 1
+            nonlocal rows, held, made
+            out = _chunk_row(f"{part}-{made}", known, rows)
+            rows, held, made = [], 0, made + 1
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(out, _PACKED_SCHEMA, strict=True)], schema=_PACKED_SCHEMA)
 
         for b in batches:
             for first in range(0, b.num_rows, 256):
                 s = b.slice(first, 256)
                 for doc, text, learn in zip(*[s.column(c).to_pylist() for c in ("doc_id", "text", "learn")], strict=True):
-                    text = text or ""
-                    words = text.encode().lower().split()
-                    index = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                    index, times = np.unique(index, return_counts=True)
-                    ids = np.frombuffer(encode(text), "<u4").astype("<u2")
-                    rows.append((doc, bool(learn), index, times, ids))
-                    n_ids += len(ids)
-                    if len(known) >= CHUNK_WORDS or n_ids >= CHUNK_IDS:
+                    ids, words = known.ids, list(map(known.__getitem__, (text or "").encode().lower().split()))
+                    index, times = np.unique(np.array(words, np.uint32), return_counts=True)
+                    ids = np.frombuffer(b"".join([ids[w] for w in words]), "<u4").astype("<u2")
+                    rows.append((doc, bool(learn), index, times.astype("<u4"), ids))
+                    held += len(ids)
+                    if held >= CHUNK_IDS:
                         yield flush()
+                    if len(known) >= CACHE_WORDS:
+                        if rows:
+                            yield flush()
+                        known = Words(StretchIds(piece_ids(tokenizer_path)))
         if rows:
             yield flush()
+        known = None
+        give_back_memory()
 
     return docs.select("doc_id", "text", "learn").mapInArrow(run, PACKED)
 
@@ -213,35 +231,43 @@ class AttentionModel:
             score[at[scored]] += got[scored]
         return np.add.reduceat(score, starts)
 
-    def tables(self) -> tuple[np.ndarray, ...]:
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Query, key, value and input of each class, side by side, and the same of each place."""
         w = self.weights
-        scale = np.float32(1 / np.sqrt(DIM))
-        tables = []
-        for m in (w["wq"] * scale, w["wk"], w["wv"]):
-            tables.append((w["e"] @ m, w["p"] @ m))
-        return tables
+        sides = (w["wq"] * np.float32(1 / np.sqrt(DIM)), w["wk"], w["wv"], np.eye(DIM, dtype=np.float32))
+        return tuple(np.ascontiguousarray(np.concatenate([w[k] @ m for m in sides], 1), np.float32) for k in ("e", "p"))
 
     def window_scores(self, classes: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """log P(target class) at every place of windows of classes read."""
-        w = self.weights
-        if not hasattr(self, "_tables"):
-            self._tables = self.tables()
-        q, k, v = (t[classes] + p for t, p in self._tables)
+        if not hasattr(self, "_table"):
+            self._table = self.table()
+        x = self._table[0][classes]
+        x += self._table[1]
+        q, k, v, h = (x[..., i * DIM : (i + 1) * DIM] for i in range(4))
         s = np.matmul(q, k.transpose(0, 2, 1))
-        np.minimum(s, 60, out=s)
-        np.exp(s, out=s)
+        _exp(s, CAUSAL > 0)
         s *= CAUSAL
-        total = s.sum(2, keepdims=True)
-        h = np.matmul(s, v)
-        h /= total
-        h += w["e"][classes]
-        h += w["p"]
-        z = h.reshape(-1, DIM) @ w["u"]
-        z += w["b"]
-        z -= z.max(1, keepdims=True)
-        top = np.take_along_axis(z, targets.reshape(-1, 1), 1)[:, 0]
-        np.exp(z, out=z)
-        return (top - np.log(z.sum(1))).reshape(classes.shape)
+        mixed = np.matmul(s, v)
+        mixed /= (s.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(*classes.shape, 1)
+        mixed += h
+        z = mixed.reshape(-1, DIM) @ self.weights["u"]
+        z += self.weights["b"]
+        wanted = z[np.arange(len(z)), targets.ravel()]
+        wanted -= np.ravel(_exp(z))
+        return (wanted - np.log(z @ np.ones(z.shape[1], np.float32))).reshape(classes.shape)
+
+
+def _exp(x: np.ndarray, counts: np.ndarray | bool = True) -> np.ndarray:
+    """exp(x - shift) in place; the shift, one number unless rows differ too much for it, from the places that count."""
+    high = x.max()
+    if high - x.min() < 80:
+        shift = np.asarray(high)
+    else:
+        np.copyto(x, -np.inf, where=~np.broadcast_to(counts, x.shape))
+        shift = x.max(-1, keepdims=True)
+    x -= shift
+    np.exp(x, out=x)
+    return shift
 
 
 CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
@@ -448,6 +474,9 @@ def lm_score(docs: DataFrame, tokenizer_path: str | None = None, held_out_remain
     spread = np.log10(n_all + 0.5 * (v_all + 1))
 
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
+        if piece_ids.cache_info().currsize:  # a worker that packed before needs its memory now
+            piece_ids.cache_clear()
+            give_back_memory()
         ids, held, tokens, knowns, bases, scores = [], [], [], [], [], []
         by_bucket = dict(zip(b["bucket"].to_pylist(), b["sums"].to_pylist(), strict=True))
         for r in a.to_pylist():
@@ -457,19 +486,19 @@ def lm_score(docs: DataFrame, tokenizer_path: str | None = None, held_out_remain
                 if cuts[k + 1] > cuts[k]:
                     count[order[cuts[k] : cuts[k + 1]]] = np.frombuffer(by_bucket[k], "<i8")
             log = np.log10(count + 0.5) - spread
-            n, n_words = np.frombuffer(r["n_distinct"], "<u4").astype(np.int64), np.frombuffer(r["n_words"], "<u4").astype(np.int64)
-            starts = np.concatenate([[0], np.cumsum(n)])
-            steps, times = _expand(r["words"], "<u4").astype(np.int64), _expand(r["times"], "<u4").astype(np.int64)
-            # Undo the steps: running sums, less what stood before each document.
-            run = np.concatenate([[0], np.cumsum(steps)])
-            index = run[1:] - np.repeat(run[starts[:-1]], n)
-            known = np.concatenate([[0], np.cumsum((count[index] > 0) * times)])
-            sums = np.array([(log[index[x:y]] * times[x:y]).sum() for x, y in zip(starts, starts[1:], strict=False)])
+            n, n_words = np.frombuffer(r["n_distinct"], "<u4"), np.frombuffer(r["n_words"], "<u4").astype(np.int64)
+            steps, times = _expand(r["words"], "<u4"), _expand(r["times"], "<u4")
+            sums, known, at = [], [], 0
+            for m in n.tolist():
+                index, often = np.cumsum(steps[at : at + m]), times[at : at + m]
+                sums.append(float(log[index] @ often))
+                known.append(int(often[count[index] > 0].sum()))
+                at += m
             ids += r["doc_ids"]
             held += [i is not None and not t for i, t in zip(r["doc_ids"], np.frombuffer(r["train"], bool).tolist(), strict=True)]
             tokens += (n_words + 1).tolist()
-            knowns += (known[starts[1:]] - known[starts[:-1]] + (trained > 0)).tolist()
-            bases += (sums + (np.log10(trained + 0.5) - spread)).tolist()
+            knowns += [k + (trained > 0) for k in known]
+            bases += [x + float(np.log10(trained + 0.5) - spread) for x in sums]
             parts = np.split(_expand(r["ids"], "<u2"), np.cumsum(np.frombuffer(r["n_ids"], "<u4"))[:-1])
             for first in range(0, len(parts), 256):
                 scores += (shared.value.log_probability(parts[first : first + 256]) / np.log(10)).tolist()
