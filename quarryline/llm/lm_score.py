@@ -386,16 +386,26 @@ def cluster_ids(documents: list[np.ndarray], vocabulary_size: int, ends_word: np
     return classes
 
 
-def fit_model(docs: DataFrame, packed: DataFrame, tokenizer_path: str) -> AttentionModel:
-    """Classes and first weights from a sample, counts and refined weights from all training documents."""
+def sample_texts(docs: DataFrame, learnt: int, rows: int = SAMPLE_DOCS) -> list[str]:
+    """Texts of the training documents with the smallest hashes of their ids.
+
+    Those below a hash that leaves enough (by six standard deviations) are ordered, so
+    that tasks send the driver few rows more than it keeps, however many there are.
+    """
+    near = (F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))) <= (rows + 6 * rows**0.5) / max(learnt, 1)
+    chosen = docs.where("learn").where(near).orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 11), "doc_id", F.xxhash64("text")).limit(rows)
+    return [r["text"] or "" for r in chosen.select("text").collect()]
+
+
+def fit_model(docs: DataFrame, packed: DataFrame, tokenizer_path: str, learnt: int) -> AttentionModel:
+    """Classes and first weights from a sample, counts and refined weights from all (so many) training documents."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
     size = tokenizer.get_vocab_size()
     ends = np.array([(tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-    chosen = docs.where("learn").select("text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()
     encode = word_encoder(tokenizer_path)
-    sample = [np.frombuffer(encode(r["text"] or ""), "<u4").astype(np.int64) for r in chosen]
+    sample = [np.frombuffer(encode(t), "<u4").astype(np.int64) for t in sample_texts(docs, learnt)]
     classes = cluster_ids(sample, size, ends)
     n_classes = int(classes.max()) + 1
 
@@ -467,8 +477,8 @@ def lm_score(docs: DataFrame, tokenizer_path: str | None = None, held_out_remain
     for r in sums.where("chunk is null").select("sums").collect():
         v, n = np.frombuffer(r["sums"], "<i8").tolist()
         distinct, total = distinct + v, total + n
-    model = fit_model(docs, packed, path)
     trained = int(packed.select(F.explode("doc_ids").alias("doc_id")).where(rest != held_out_remainder).count())
+    model = fit_model(docs, packed, path, trained)
     n_all, v_all = total + trained, distinct + (trained > 0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     spread = np.log10(n_all + 0.5 * (v_all + 1))
