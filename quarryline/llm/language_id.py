@@ -24,6 +24,7 @@ other than the id, the text and (for learning) the language are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarryline.llm.common import materialise
+
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 ROWS_PER_LANGUAGE = 1000
@@ -229,14 +232,28 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df, n
 
 
+def smallest_hashes(docs: DataFrame, rows_per_language: int) -> DataFrame:
+    """Of each language, at most so many documents: (lang, text, k), smallest hashes k first.
+
+    A language's size says below which hash enough of its documents lie (by six
+    standard deviations), so few rows more than are chosen come together in one
+    task, whatever share of the rows a language has.
+    """
+    key = F.xxhash64("doc_id", "text")
+    labelled = docs.where("lang is not null and text is not null")
+    sizes = materialise(labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n")), "languages")
+    enough = rows_per_language + 6 * math.sqrt(rows_per_language)
+    place = (F.shiftrightunsigned("k", 11) / F.lit(float(1 << 53))).alias("_place")
+    near = labelled.select("lang", "text", "doc_id", key.alias("k")).join(sizes, F.col("lang") == F.col("_lang")).where(place <= enough / F.col("_n"))
+    first = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("k", 11), "k", "doc_id")
+    return near.select("lang", "text", "k", F.row_number().over(first).alias("r")).where(F.col("r") <= rows_per_language)
+
+
 def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, epochs: int = EPOCHS) -> Model:
     """Learns from all rows of columns doc_id, text, lang that it is given."""
     df, n = document_frequencies(docs)
     idf = np.log((1 + n) / (1 + df)) + 1.0
-    key = F.xxhash64("doc_id", "text")
-    first = Window.partitionBy("lang").orderBy(key, "doc_id")
-    chosen = docs.where("lang is not null and text is not null").select("lang", "text", key.alias("k"), F.row_number().over(first).alias("r"))
-    rows = sorted((r["lang"], r["k"], r["text"]) for r in chosen.where(F.col("r") <= rows_per_language).collect())
+    rows = sorted((r["lang"], r["k"], r["text"]) for r in smallest_hashes(docs, rows_per_language).collect())
     languages = sorted({r[0] for r in rows})
     if not languages:
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0))
