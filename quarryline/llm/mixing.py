@@ -64,8 +64,9 @@ def source_rates(docs: DataFrame, source_column: str, weights: dict[str | None,
     else:
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "_name string, _w double")
         weighted = counts.join(given, F.col("_source").eqNullSafe(F.col("_name"))).drop("_name")
-    total = weighted.agg(F.sum("_n").alias("_all"), F.sum("_w").alias("_sum"))
-    rates = weighted.crossJoin(total).select("_source", (F.col("_w") / F.col("_sum") * F.col("_all") * epochs / F.col("_n")).alias("_rate"))
+    weighted = materialise(weighted, "sources")
+    rows, sum_of_weights = weighted.agg(F.sum("_n"), F.sum("_w")).first()
+    rates = weighted.select("_source", (F.col("_w") / F.lit(sum_of_weights) * F.lit(rows).cast("double") * epochs / F.col("_n")).alias("_rate"))
     parts = F.greatest(F.ceil(F.col("_rate") / SPLIT_RATE), F.lit(1)).cast("int")
     return rates.select("_source", "_rate", parts.alias("_parts"), poisson_table(F.col("_rate") / parts).alias("_table"))
 
