@@ -7,7 +7,7 @@ import zlib
 import corpus_pipeline as P
 import numpy as np
 import pytest
-from test_ngram_join import brute as near_brute
+from .test_ngram_join import brute as near_brute
 
 from quarryline.llm import language_id, mixing, packing
 
