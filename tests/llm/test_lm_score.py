@@ -132,3 +132,13 @@ def test_training_beats_frequencies():
     data = M.training_windows(docs, classes, 5)
     w = M.train(M.initial_weights(5), *data, 200, 0.02)
     assert M.gradients(w, *data)[0] < 0.3
+
+
+def test_context_at_window_edges_and_number_of_classes():
+    """Every token beyond the beginning has eight tokens of context at least; frequent ids have 44 classes."""
+    first, own, rows = M.windows(np.array([0]), np.array([500]))
+    assert own[0] == 0 and own[1:].min() >= 8 and int((rows - own).sum()) == 500
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 300, 400) for _ in range(40)]
+    classes = M.cluster_ids(docs, 300, rng.random(300) < 0.5)
+    assert classes.max() + 1 == 44 + 3
