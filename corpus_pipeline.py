@@ -32,13 +32,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each connected group of near copies, the document with the smallest id.
+    """Of each connected group of near copies, one document: that with the smallest id, if any has one.
 
-    Documents without an id in a group without any stay.
+    Documents are told apart by id and text, so neither a missing nor a repeated id costs another document.
     """
-    groups = ngram_join.ngram_join(docs)
-    lost = groups.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(materialise(lost, "lost"), F.col("doc_id").eqNullSafe(F.col("_lost")), "left_anti")
+    lost = materialise(ngram_join.copies(docs), "lost").select(F.col("doc_id").alias("_lost"), F.col("digest").alias("_digest"))
+    return docs.join(lost, F.col("doc_id").eqNullSafe(F.col("_lost")) & (ngram_join.text_digest() == F.col("_digest")), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import give_back_memory, materialise
@@ -141,7 +141,11 @@ SCAN = "doc_id bigint, key binary, n int, cells binary, gram bigint, times bigin
 
 
 def scan_sets(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: a document's key, size and histogram; an n-gram that repeats in a task, and how often."""
+    """Rows of two kinds: a document's key, size and histogram; an n-gram that repeats in a task, and how often.
+
+    A third column of documents, digest, is handed on.
+    """
+    digests = "digest" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, size, last = WordHashes(), {}, 0, None
@@ -154,9 +158,9 @@ def scan_sets(docs: DataFrame) -> DataFrame:
             many = times > 1
             grams, times = every[starts[many]].view(np.int64), times[many]
             none = [None] * len(grams)
-            return pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary()), pa.array(grams), pa.array(times, pa.int64())], schema=last)
+            return pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary()), pa.array(grams), pa.array(times, pa.int64()), *[pa.array(none, pa.binary())] * digests], schema=last)
 
-        last = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("cells", pa.binary()), ("gram", pa.int64()), ("times", pa.int64())])
+        last = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("cells", pa.binary()), ("gram", pa.int64()), ("times", pa.int64()), *[("digest", pa.binary())] * digests])
         for b in batches:
             keys, sizes, cells = [], [], []
             for _, text in texts_of(b, 1):
@@ -171,12 +175,12 @@ def scan_sets(docs: DataFrame) -> DataFrame:
                     if size >= FLUSH_HASHES:
                         yield repeated()
                         held, size = {}, 0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(cells, pa.binary()), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64())], schema=last)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(cells, pa.binary()), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64()), *[b.column(2)] * digests], schema=last)
         yield repeated()
         held = known = None
         give_back_memory()
 
-    return docs.mapInArrow(run, SCAN)
+    return docs.mapInArrow(run, SCAN + ", digest binary" * digests)
 
 
 # Short lists
@@ -510,11 +514,11 @@ def open_pairs(named: DataFrame, query_rows: int = 2048, candidate_rows: int = 1
 # The join
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with key and n; classes; links between classes that span the components)."""
+def links(docs: DataFrame, digests: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with key and n, and digest of their text if asked for; classes; links between classes that span the components)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    scan = materialise(scan_sets(docs), "sets")
-    rows = scan.where("n is not null").select("doc_id", "key", "n")
+    scan = materialise(scan_sets(docs.withColumn("digest", text_digest()) if digests else docs), "sets")
+    rows = scan.where("n is not null").select("doc_id", "key", "n", *["digest"] * digests)
     classes = materialise(scan.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     sums = scan.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= LONG_FROM)
@@ -542,6 +546,24 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return rows, classes, found.unionByName(more)
 
 
+def text_digest() -> Column:
+    return F.unhex(F.md5("text"))
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest of the text) of every document but one of each component.
+
+    That one has the smallest id, or no id if none has, and of those the smallest digest.
+    Documents without a word are in no component.
+    """
+    rows, classes, found = links(docs, digests=True)
+    named = classes.select("key").join(components(found).withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
+    placed = rows.join(named, "key").select("root", "doc_id", "digest")
+    kept = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("kept"))
+    lost = placed.join(kept, "root").where("not (doc_id <=> kept.doc_id and digest = kept.digest)")
+    return lost.select("doc_id", "digest").distinct()
+
+
 def ngram_join(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id.  Reads doc_id and text."""
     rows, classes, found = links(docs)

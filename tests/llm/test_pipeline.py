@@ -93,3 +93,19 @@ def test_packing_stage(stages):
 def test_run_gives_the_last_stage(spark, sf, stages):
     got = P.run(spark, sf)
     assert sorted((r.doc_id, r.piece) for r in got.collect()) == sorted((r.doc_id, r.piece) for r in stages[5].collect())
+
+
+def test_near_stage_with_missing_and_repeated_ids(spark, sf):
+    say = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    near = lambda k: say(k) + " more"
+    rows = [
+        (5, say(1)), (None, near(1)),  # linked: the one with an id stays
+        (None, say(2)),  # alone, without an id
+        (None, say(3)), (None, near(3)), (None, near(3) + " again"),  # near copies, all without an id
+        (3, say(4)), (7, near(4)), (7, say(5)), (9, near(5)),  # 7 loses in one group and stays in another
+        (None, None), (None, ""), (8, say(6)), (8, near(6)),
+    ]
+    got = P.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), sf).collect()
+    left = sorted((r.doc_id or 0, r.text or "") for r in got)
+    groups = [[(5, say(1))], [(0, say(2))], [(0, say(3)), (0, near(3)), (0, near(3) + " again")], [(3, say(4))], [(7, say(5))], [(0, "")], [(8, say(6)), (8, near(6))]]
+    assert [sum(x in g for x in left) for g in groups] == [1, 1, 1, 1, 1, 2, 1] and len(left) == 8
