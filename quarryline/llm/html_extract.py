@@ -1,9 +1,12 @@
 """The main text of web pages: the maximum-scoring stretch of words and tags.
 
-A page is read as a sequence of tags and runs of words.  Elements that labelled
-pages never show inside a main text (scripts, menus, forms, adverts, reader
-comments and the like, by tag or by class, id or role) are cut out first.  Of
-what remains, words score positive and tags negative, and one linear scan
+A page is read as a sequence of tags and runs of words.  Elements that a fixed
+list of tags and of parts of class, id and role names (``CUT_TAGS``, ``MARKS``)
+takes for scripts, menus, forms, adverts, reader comments and the like are cut
+out first, but never the article or main element with the most words nor what
+holds it.  Without such an element, one that holds most of the page's words stays
+if it is a form or only a part of a name marks it.  In an article, headings stay, and
+an id alone cuts only what is mostly links or holds a form.  Of what remains, words score positive and tags negative, and one linear scan
 finds the contiguous stretch with the highest sum.
 
 Weights are log-odds counted on labelled pages, whose main text is marked, by
@@ -61,12 +64,59 @@ CUT_TAGS = frozenset("nav aside footer form menu dialog button fieldset input la
 WORD = re.compile(r"\S+")
 
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def measure(page: str) -> tuple[dict[int, tuple[int, int, int, int]], int | None, int]:
+    """Of each element, by where its tag begins: where it ends, words, words in links, forms; where the largest article begins; words of the page."""
+    out: dict[int, tuple[int, int, int, int]] = {}
+    stack: list[tuple[str, int, int, int, int]] = []
+    opened: Counter[str] = Counter()
+    words = linked = forms = at = most = 0
+    chief = None
+
+    def close(end: int) -> None:
+        nonlocal chief, most
+        n, first, w, k, f, fit = stack.pop()
+        opened[n] -= 1
+        out[first] = end, words - w, linked - k, forms - f
+        if fit and words - w > most:
+            chief, most = first, words - w
+
+    for m in TOKEN.finditer(page):
+        n = len(WORD.findall(page[at : m.start()]))
+        words, linked, at = words + n, linked + n * (opened["a"] > 0), m.end()
+        if m[1] or not m[3]:
+            forms += (m[1] or "").lower() in ("textarea", "select")
+            continue
+        name = m[3].lower()
+        if m[2]:
+            if opened[name]:
+                while stack[-1][0] != name:
+                    close(m.start())
+                close(m.start())
+            continue
+        if stack and stack[-1][0] == "p" and name in ENDS_PARAGRAPH or stack and name == stack[-1][0] == "li":
+            close(m.start())
+        if name not in VOID and not m[4].endswith("/"):
+            fit = name in CONTENT and not any(opened[x] for x in ("aside", "nav", "footer")) and not any(_marks(m[4])[::3])
+            stack.append((name, m.start(), words, linked, forms, fit))
+            opened[name] += 1
+        forms += name in ("form", "input")
+    n = len(WORD.findall(page[at:]))
+    words, linked = words + n, linked + n * (opened["a"] > 0)
+    while stack:
+        close(len(page))
+    return out, chief, words
+
+
 def parse(page: str) -> list[tuple]:
     """("text", run, in article, in link) and ("tag", name, in article) in page order, cut elements left out."""
     out: list[tuple] = []
     stack: list[tuple[str, bool]] = []  # open elements: name, whether it starts a cut
     opened: Counter[str] = Counter()  # how many of each name
     cut = content = link = at = 0
+    sizes, chief, words = measure(page)
     for m in TOKEN.finditer(page):
         if m.start() > at and not cut:
             out.append(("text", page[at : m.start()], content > 0, link > 0))
@@ -92,7 +142,7 @@ def parse(page: str) -> list[tuple]:
             _close(stack, opened, out, "p", ENDS_PARAGRAPH - {"p"}, cut, content > 0)
         if name in ("li", "tr", "td", "th", "option", "dt", "dd"):
             _close(stack, opened, out, name, frozenset(("ul", "ol", "table", "dl", "menu", "nav", "article", "main", "aside", "div", "section")), cut, content > 0)
-        starts = not cut and _is_cut(name, m[4], content > 0)
+        starts = not cut and _is_cut(name, m[4], content > 0, m.start(), sizes, chief, words)
         if not cut and not starts:
             out.append(("tag", name, content > 0))
         if name not in VOID and not m[4].endswith("/"):
@@ -124,24 +174,44 @@ def _close(stack: list, opened: Counter, out: list, name: str, stops: frozenset,
             return
 
 
-def _is_cut(name: str, attributes: str, in_content: bool) -> bool:
-    if name in CUT_TAGS and not (name in ("header", "label") and in_content):
+def _marks(attributes: str) -> tuple[bool, bool, bool, bool]:
+    """Whether a whole class or role name is a mark, a part of one, an id or a part of it; whether the element is hidden."""
+    whole = part = by_id = hidden = False
+    for key, a, b, c in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), (a or b or c).lower()
+        if key == "hidden" or key == "aria-hidden":
+            hidden |= key == "hidden" or value == "true"
+        elif key == "id":
+            by_id |= bool(MARKS & set(re.split(r"[^a-z]+", value)))
+        else:
+            whole |= bool(MARKS & set(value.split()))
+            part |= bool(MARKS & set(re.split(r"[^a-z]+", value)))
+    return whole, part, by_id, hidden
+
+
+def _is_cut(name: str, attributes: str, in_content: bool, at: int, sizes: dict, chief: int | None, words: int) -> bool:
+    if name in ("html", "body"):
+        return False
+    end, own, linked, forms = sizes.get(at, (at, 0, 0, 0))
+    whole, part, by_id, hidden = _marks(attributes) if attributes else (False,) * 4
+    if hidden and name != "main":
         return True
-    if name in ("html", "body", "main") or not attributes:
+    if chief is not None and at <= chief < end:
         return False
-    for key, a, b, c in ATTRIBUTE.findall(attributes):
-        key = key.lower()
-        if key == "hidden":
-            return True
-        value = (a or b or c).lower()
-        if key == "aria-hidden":
-            if value == "true":
-                return True
-            continue
-        words = set(re.split(r"[^a-z]+", value))
-        if words & MARKS and not (in_content and words <= {"header", "entry", "article", "post", "title"}):
-            return True
-    return False
+    large = chief is None and 2 * own > words
+    if name in CUT_TAGS and not (name in ("header", "label") and in_content):
+        return name != "form" or not large
+    if name == "main" or in_content and name in HEADINGS:
+        return False
+    if in_content and (whole or part) and not by_id:
+        names = {w for key, a, b, c in ATTRIBUTE.findall(attributes) if key.lower() in ("class", "role") for w in re.split(r"[^a-z]+", (a or b or c).lower())}
+        if names <= {"header", "entry", "article", "post", "title"}:
+            return False
+    if whole:
+        return True
+    if part:
+        return not large
+    return by_id and not large and (not in_content or forms > 0 or 2 * linked > own)
 
 
 # Weights

@@ -67,3 +67,27 @@ def test_markup_that_never_closes_takes_linear_time(weights):
 def test_stretch_equals_brute_force(scores):
     a, b = best_stretch(scores)
     assert sum(scores[a:b]) == max([0, *(sum(scores[i:j]) for i in range(len(scores)) for j in range(i, len(scores) + 1))])
+
+
+STORY = "<h1>A title of it</h1><p>The story has a good number of words in it.</p><p>And it goes on with more of them.</p>"
+LINES = ["A title of it", "The story has a good number of words in it.", "And it goes on with more of them."]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div class='content-sidebar-wrap'><article>{STORY}</article></div></body>",
+        f"<body><article class='post has-sidebar'>{STORY}</article></body>",
+        f"<body><form action=/><ul class=menu><li><a href=/>Home</a></ul><article>{STORY}</article><input></form></body>",
+        f"<body><form action=/><div>{STORY}</div></form></body>",
+        f"<body><div class='content-sidebar-wrap'><div>{STORY}</div></div></body>",
+        f"<body><div class='content-sidebar-wrap'><main>{STORY}</main><div class='sidebar'><article><p>Another story told in few words.</p></article></div></div></body>",
+    ],
+)
+def test_what_holds_the_article_stays(weights, page):
+    assert [x for x in extract(page, weights).split("\n") if x] == LINES
+
+
+def test_ids_of_sections_in_an_article(weights):
+    page = f"<body><article>{STORY}<section id='discussion'><h2 id='side-effects'>Side effects seen</h2><p>What was seen is told here in words.</p></section><div id='related'><a href=/1>Other story</a> <a href=/2>Next one</a></div></article></body>"
+    assert extract(page, weights).split("\n") == [*LINES, "Side effects seen", "What was seen is told here in words."]
