@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,49 +16,108 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Capital or title-case letters outside A-Z: those that lower() would also change.
 OTHER_CAPITALS = r"[[\p{IsUppercase}\p{Lt}]&&[^A-Z]]"
 
-# Paths of the tables written so far.
-_WRITTEN: list[str] = []
+# Deletes the shuffle files of a query when it ends; set while a table is written.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Paths of the tables written so far, and those of each open ``scratch``.
+_WRITTEN: dict[str, None] = {}
+_SCRATCH: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none, as in tests, a temporary folder is set as
-    its checkpoint folder.
+    Where a local session names none, as in tests, a temporary folder is set as
+    its checkpoint folder; a cluster that names none is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quarryline-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, frees: Iterable[DataFrame] = (), keep: bool = False) -> DataFrame:
     """Writes a table to the shared folder and reads it back.
 
     This cuts the lineage: later stages survive the loss of any executor, and
-    the table is computed once however often it is used.
+    the table is computed once however often it is used.  The shuffles behind
+    it are deleted, and so are the written tables ``frees``, which nothing but
+    this one may still read.  With ``keep`` it outlives the innermost ``scratch``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    if before is not None:
+        spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEAN_SHUFFLES, before)
+    _WRITTEN[path] = None
+    for made in _SCRATCH[-1:] if not keep else _SCRATCH[-2:-1]:
+        made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    discard(*frees)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again."""
+    for t in tables:
+        if path := t.__dict__.get("_written"):
+            _delete(t.sparkSession, [path])
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside are deleted at its end, but for those to keep."""
+    _SCRATCH.append(made := [])
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(made)
+        _delete(spark, made)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> int:
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    for name in paths:
+        if name in _WRITTEN:
+            del _WRITTEN[name]
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            n += path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 def release(spark: SparkSession) -> int:
     """Deletes the tables that this process has written, once their results are no longer needed."""
-    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        n += path.getFileSystem(conf).delete(path, True)
-    return n
+    return _delete(spark, list(_WRITTEN))
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles that no plan refers to any longer, which it does when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, with underscores in front until they differ from all columns, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def give_back_memory() -> None:
     """Returns freed memory of a Python worker to the system: idle workers live on beside the next stage."""
     import ctypes
-    import gc
 
     import pyarrow as pa
 

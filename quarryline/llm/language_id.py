@@ -268,19 +268,20 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, epochs: int
     return Model(languages, scaled, bias, fit_temperature(scores, labels[held]))
 
 
-def predict(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """All columns of docs, then lang_pred and score."""
+def predict(docs: DataFrame, model: Model, text_column: str = "text", lang_column: str = "lang_pred", score_column: str = "score") -> DataFrame:
+    """All columns of docs, then the language and its score, which replace columns of their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    taken = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    added = [lang_column, score_column]
+    taken = [c for c in docs.columns if c not in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
             texts = [t or "" for t in b.column(b.schema.names.index(text_column)).to_pylist()]
             lang, score = model.predict(texts)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, *added])
 
-    schema = docs.select(*taken).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*taken).schema.add(lang_column, "string").add(score_column, "double")
     return docs.select(*taken).mapInArrow(run, schema)
 
 

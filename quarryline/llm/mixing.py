@@ -17,8 +17,9 @@ the join to rates is by broadcast, or else adaptive execution splits it.
 Defined results: a null source is a source of its own; sources without a
 target weight are dropped if weights are given; weights are divided by their
 sum; null texts are copied like others; a null id draws by the word "null";
-repeated rows draw alike; an empty table gives no rows; columns named ``copy``
-and ``mix_key`` are replaced, all others kept.
+repeated rows draw alike; texts of any length are copied whole; an empty table
+gives no rows; columns named ``copy`` and ``mix_key`` are replaced (both names are
+parameters), all others kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -71,22 +72,25 @@ def source_rates(docs: DataFrame, source_column: str, weights: dict[str | None,
     return rates.select("_source", "_rate", parts.alias("_parts"), poisson_table(F.col("_rate") / parts).alias("_table"))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, epochs: float = 1.0, seed: str = SEED, id_column: str = "doc_id", source_column: str = "source") -> DataFrame:
-    """Copies of the documents, shuffled: their columns, copy (from 0) and mix_key (the order)."""
-    columns = [c for c in docs.columns if c not in ("copy", "mix_key")]
+def mix(
+    docs: DataFrame, weights: dict[str | None, float] | None = None, epochs: float = 1.0, seed: str = SEED, id_column: str = "doc_id", source_column: str = "source", copy_column: str = "copy", key_column: str = "mix_key"
+) -> DataFrame:
+    """Copies of the documents, shuffled: their columns, the number of the copy (from 0) and the key that orders them."""
+    columns = [c for c in docs.columns if c not in (copy_column, key_column)]
     rates = materialise(source_rates(docs, source_column, weights, epochs), "rates")
-    name = F.coalesce(F.col(id_column).cast("string"), F.lit("null"))
+    # The documents' own columns travel in one, so none can clash with those made here.
+    rows = docs.select(F.struct(*columns).alias("row"), F.coalesce(F.col(id_column).cast("string"), F.lit("null")).alias("name"), F.col(source_column).alias("own_source"))
 
     def draw(part: Column) -> Column:
-        u = uniform(F.lit(seed), name, part.cast("string"))
+        u = uniform(F.lit(seed), F.col("name"), part.cast("string"))
         return F.size(F.filter("_table", lambda c: c <= u))
 
     times = F.aggregate(F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), draw), F.lit(0), lambda a, b: a + b)
-    rated = docs.select(*columns).join(rates, docs[source_column].eqNullSafe(rates["_source"]))
-    counted = rated.withColumn("_times", times).where("_times > 0")
-    copies = counted.select(*columns, F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("copy"))
-    keyed = copies.withColumn("mix_key", _hex_number(F.concat_ws(":", F.lit(seed), F.lit("order"), name, F.col("copy").cast("string")), 15))
-    return keyed.repartition("mix_key").sortWithinPartitions("mix_key")
+    counted = rows.join(rates, F.col("own_source").eqNullSafe(F.col("_source"))).withColumn("times", times).where("times > 0")
+    copies = counted.select("row", "name", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("copy"))
+    keyed = copies.select("row", "copy", _hex_number(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col("name"), F.col("copy").cast("string")), 15).alias("key"))
+    dealt = keyed.repartition("key").sortWithinPartitions("key")
+    return dealt.select(*[F.col("row")[c].alias(c) for c in columns], F.col("copy").alias(copy_column), F.col("key").alias(key_column))
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

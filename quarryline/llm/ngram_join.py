@@ -37,11 +37,13 @@ inverted index, with DivideSkip's split into short and long lists:
 
 No step is capped: all pairs that could link are verified unless both are
 already in one component, where a link changes nothing.  Keys, counts of long
-lists (at most ``LONG_LISTS`` of them, which only decides the order of the index
-and drops nothing) and rows of pairs are all that is shuffled or broadcast.
+lists and rows of pairs are all that is shuffled or broadcast.  A list is long
+from ``LONG_FROM`` documents on, or from so many that not more than ``LONG_LISTS``
+lists can be: all postings divided by that number.  Which lists are long decides
+the order of the index, and drops nothing.
 
 Defined results: null and empty texts have no n-grams and are linked with
-nothing; a repeated row (same id, same text) is reported as often as it occurs;
+nothing; texts of any length are read whole; a repeated row (same id, same text) is reported as often as it occurs;
 a document with a null id links like others but gives no id to its component,
 which is null if it has no other; ids need not be unique; an empty table gives
 no rows; other columns are not read.
@@ -58,11 +60,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import give_back_memory, materialise
+from quarryline.llm.common import discard, give_back_memory, materialise, scratch
 
 WORDS = 5
-LONG_LISTS = 1_000_000  # entries of the broadcast table of long lists: 12 bytes each
-LONG_FROM = 16  # documents that make a list long
+LONG_LISTS = 1_000_000  # most entries of the broadcast table of long lists: 16 bytes each
+LONG_FROM = 16  # documents that make a list long, at least
 BUCKET_BYTES = 24 << 20
 FLUSH_HASHES = 4 << 20
 CACHE_WORDS = 300_000
@@ -137,13 +139,13 @@ def texts_of(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, str | No
         yield from enumerate(batch.column(column).slice(first, 256).to_pylist(), first)
 
 
-SCAN = "doc_id bigint, key binary, n int, cells binary, gram bigint, times bigint"
+SCAN = "doc_id bigint, key binary, n int, cells binary, gram bigint, times bigint, xx bigint"
 
 
 def scan_sets(docs: DataFrame) -> DataFrame:
     """Rows of two kinds: a document's key, size and histogram; an n-gram that repeats in a task, and how often.
 
-    A third column of documents, digest, is handed on.
+    Columns xx and digest (which may be missing) of documents are handed on.
     """
     digests = "digest" in docs.columns
 
@@ -158,9 +160,9 @@ def scan_sets(docs: DataFrame) -> DataFrame:
             many = times > 1
             grams, times = every[starts[many]].view(np.int64), times[many]
             none = [None] * len(grams)
-            return pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary()), pa.array(grams), pa.array(times, pa.int64()), *[pa.array(none, pa.binary())] * digests], schema=last)
+            return pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary()), pa.array(grams), pa.array(times, pa.int64()), pa.array(none, pa.int64()), *[pa.array(none, pa.binary())] * digests], schema=last)
 
-        last = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("cells", pa.binary()), ("gram", pa.int64()), ("times", pa.int64()), *[("digest", pa.binary())] * digests])
+        last = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("cells", pa.binary()), ("gram", pa.int64()), ("times", pa.int64()), ("xx", pa.int64()), *[("digest", pa.binary())] * digests])
         for b in batches:
             keys, sizes, cells = [], [], []
             for _, text in texts_of(b, 1):
@@ -175,7 +177,7 @@ def scan_sets(docs: DataFrame) -> DataFrame:
                     if size >= FLUSH_HASHES:
                         yield repeated()
                         held, size = {}, 0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(cells, pa.binary()), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64()), *[b.column(2)] * digests], schema=last)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(cells, pa.binary()), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64()), *b.columns[2:]], schema=last)
         yield repeated()
         held = known = None
         give_back_memory()
@@ -380,9 +382,10 @@ def bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link; a is the one searched for."""
     likely = materialise(bounded_pairs(pairs, classes), "likely")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "rep"), "key")
-    # Texts of the classes wanted; ids need not be unique, so keys are compared again.
-    texts = docs.join(wanted.select(F.col("rep").alias("_rep"), F.col("key").alias("_key")), docs["doc_id"].eqNullSafe(F.col("_rep"))).select("text", "_key")
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "rep", "rep_xx"), "key")
+    # Texts of the classes wanted; ids may be missing or repeat, so the text's hash is a key as well.
+    wanted = wanted.select(F.col("rep").alias("_rep"), F.col("rep_xx").alias("_xx"), F.col("key").alias("_key"))
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("_rep")) & (docs["xx"] == F.col("_xx"))).select("text", "_key")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -396,11 +399,13 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(out, pa.binary())], names=["key", "grams"])
 
     grams = materialise(texts.mapInArrow(sets, "key binary, grams binary"), "grams")
+    # A representative row that repeats comes once.
+    one = grams.groupBy("key").agg(F.first("grams").alias("grams"))
     # A leader with many candidates is split into groups of about GROUP_ROWS.
     groups = likely.groupBy("a").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("_groups"))
-    left = groups.join(grams.withColumnRenamed("key", "a"), "a").select(F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("part"), F.col("grams").alias("own"))
+    left = groups.join(one.withColumnRenamed("key", "a"), "a").select(F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("part"), F.col("grams").alias("own"))
     right = likely.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_groups")).cast("int").alias("g"), F.col("b"))
-    right = right.join(grams.withColumnRenamed("key", "b"), "b").select(F.col("a").alias("of"), F.col("g").alias("g"), F.col("b").alias("b"), F.col("grams").alias("grams"))
+    right = right.join(one.withColumnRenamed("key", "b"), "b").select(F.col("a").alias("of"), F.col("g").alias("g"), F.col("b").alias("b"), F.col("grams").alias("grams"))
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
         out_a, out_b = [], []
@@ -412,7 +417,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
             out_a = [a["leader"][0].as_py()] * len(out_b)
         return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
 
-    return left.groupBy("leader", "part").cogroup(right.groupBy("of", "g")).applyInArrow(search, "a binary, b binary")
+    found = left.groupBy("leader", "part").cogroup(right.groupBy("of", "g")).applyInArrow(search, "a binary, b binary")
+    return materialise(found, "links", frees=(likely, grams))
 
 
 # Components
@@ -433,7 +439,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         new = materialise(small.where("u <> v").distinct(), "edges")
         if new.exceptAll(current).isEmpty() and current.exceptAll(new).isEmpty():
-            return new.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+            return materialise(new.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node"), "roots", frees=(new, current))
+        discard(current)
         current = new
 
 
@@ -514,36 +521,58 @@ def open_pairs(named: DataFrame, query_rows: int = 2048, candidate_rows: int = 1
 # The join
 
 
+def names_of(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """(gram, key, n, root) of every member of every list."""
+    sides = [lists.select("gram", F.col(k).alias("key"), F.col(f"{k}_n").alias("n")) for k in ("leader", "member")]
+    named = sides[0].unionByName(sides[1]).distinct().join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
+    return named.withColumn("root", F.coalesce("root", "key"))
+
+
+def open_members(named: DataFrame) -> DataFrame:
+    """(gram, key, n, root, head) of the members of lists that hold several components."""
+    open_lists = named.groupBy("gram").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.min("key").alias("head")).where("_low < _high").select("gram", "head")
+    return named.join(open_lists, "gram")
+
+
+def without(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs (a, b) that were not tried in either order."""
+    return pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+
+
 def links(docs: DataFrame, digests: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with key and n, and digest of their text if asked for; classes; links between classes that span the components)."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    """(documents with key and n, and digest of their text if asked for; classes; components of the links between classes)."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("xx"))
     scan = materialise(scan_sets(docs.withColumn("digest", text_digest()) if digests else docs), "sets")
     rows = scan.where("n is not null").select("doc_id", "key", "n", *["digest"] * digests)
-    classes = materialise(scan.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells")), "classes")
+    # Of a class, the row with the smallest id, if any has one, stands for all.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "xx"))
+    classes = scan.where("key is not null").groupBy("key").agg(first.alias("r"), F.first("n").alias("n"), F.first("cells").alias("cells"))
+    classes = materialise(classes.select("key", F.col("r.doc_id").alias("rep"), F.col("r.xx").alias("rep_xx"), "n", "cells"), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    sums = scan.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= LONG_FROM)
-    long = sums.orderBy(F.desc("times"), "gram").limit(LONG_LISTS).toPandas()
+    sums = materialise(scan.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")), "sums")
+    long_from = max(LONG_FROM, math.ceil((sums.agg(F.sum("times")).first()[0] or 0) / LONG_LISTS))
+    long = sums.where(F.col("times") >= long_from).toPandas()
     long_grams, long_times = long["gram"].to_numpy(np.int64).view(np.uint64), long["times"].to_numpy(np.int64)
     order = np.argsort(long_grams)
     buckets = max(1, math.ceil(total / 4 * 14 / BUCKET_BYTES))
 
-    index = materialise(index_blocks(docs, long_grams[order], long_times[order], buckets), "index")
+    index = materialise(index_blocks(docs, long_grams[order], long_times[order], buckets), "index", frees=(sums,))
     own = index.where("gram is not null").select("gram", "leader", "leader_n", "member", "member_n")
-    lists = materialise(own.unionByName(merge_buckets(index.where("bucket is not null").select("bucket", "grams", "members", "keys", "sizes", "shorts"))), "lists")
+    lists = own.unionByName(merge_buckets(index.where("bucket is not null").select("bucket", "grams", "members", "keys", "sizes", "shorts")))
+    lists = materialise(lists, "lists", frees=(index,))
 
     fits = (F.least("leader_n", "member_n") * 4) >= (F.greatest("leader_n", "member_n") * 3)
     led = materialise(lists.where(fits).select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct(), "led")
-    found = materialise(verified(led, classes, docs), "links")
-    roots = materialise(components(found), "roots")
+    found = verified(led, classes, docs)
+    roots = components(found)
 
     # Lists that still hold several components.
-    members = lists.select("gram", F.col("leader").alias("key"), F.col("leader_n").alias("n")).unionByName(lists.select("gram", F.col("member").alias("key"), F.col("member_n").alias("n"))).distinct()
-    named = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    open_lists = named.groupBy("gram").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.min("key").alias("head")).where("_low < _high").select("gram", "head")
-    rest = open_pairs(materialise(named.join(open_lists, "gram"), "open")).distinct()
-    rest = rest.join(led, ["a", "b"], "left_anti").join(led.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = materialise(verified(rest, classes, docs), "links")
-    return rows, classes, found.unionByName(more)
+    left = materialise(open_members(names_of(lists, roots)), "open", frees=(lists,))
+    rest = without(open_pairs(left).distinct(), led)
+    more = verified(rest, classes, docs)
+    for t in (left, led):
+        discard(t)
+    return rows, classes, components(found.unionByName(more)) if not more.isEmpty() else roots
 
 
 def text_digest() -> Column:
@@ -556,8 +585,8 @@ def copies(docs: DataFrame) -> DataFrame:
     That one has the smallest id, or no id if none has, and of those the smallest digest.
     Documents without a word are in no component.
     """
-    rows, classes, found = links(docs, digests=True)
-    named = classes.select("key").join(components(found).withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
+    rows, classes, roots = links(docs, digests=True)
+    named = classes.select("key").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
     placed = rows.join(named, "key").select("root", "doc_id", "digest")
     kept = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("kept"))
     lost = placed.join(kept, "root").where("not (doc_id <=> kept.doc_id and digest = kept.digest)")
@@ -566,12 +595,13 @@ def copies(docs: DataFrame) -> DataFrame:
 
 def ngram_join(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id.  Reads doc_id and text."""
-    rows, classes, found = links(docs)
-    roots = components(found)
-    named = classes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    ids = named.join(smallest, "root").select("key", "component_id")
-    return rows.join(ids, "key", "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    with scratch(docs.sparkSession):
+        rows, classes, roots = links(docs)
+        named = classes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+        ids = named.join(smallest, "root").select("key", "component_id")
+        component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+        return materialise(rows.join(ids, "key", "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), component.alias("component_id")), "joined", keep=True)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
