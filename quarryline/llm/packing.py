@@ -6,25 +6,32 @@ sequence is the one-dimensional cutting-stock problem, and only the histogram
 of piece lengths matters for it:
 
 * the configuration linear program has a variable for each way to fill a
-  sequence and a constraint for each length.  Multiplicative weights solve it
-  approximately: every length has a price; the pattern worth most at these
-  prices (an unbounded knapsack over the capacity, by dynamic programming) is
-  bought in the amount its scarcest length allows; prices of what was bought
-  fall;
-* the solution is scaled and rounded down, and what is left over is filled by
-  best fit over the histogram, each pattern repeated as often as its lengths
-  last.
+  sequence and a constraint for each length.  Multiplicative weights solve it:
+  a length's price starts from its share of a sequence (or the step function of it
+  that bounds the number of sequences best) and has a weight, which grows with
+  the share of its demand that is not yet covered.  Each round prices the
+  fillings of all capacities (an unbounded knapsack by dynamic programming, over
+  a part of the lengths that changes from round to round) and takes, for every
+  length in turn, the filling that holds it and is worth most.  Fillings worth
+  less than the best by more than a small slack are not bought; the others are bought
+  until a share of the demand of a length they hold is used up.  Rounds go on
+  until ``COVER`` of all tokens are covered or three rounds in a row buy nothing.
+  If the plan then needs more sequences than the dual bound allows by ``GAP``, the
+  program is solved again at a slower pace, and the better plan is kept;
+* the amounts are rounded up, largest first, as long as pieces last, and what is
+  left over is filled by best fit over the histogram, each pattern repeated
+  as often as its lengths last.
 
 The histogram has at most as many entries as a sequence has tokens, and the
 plan a few patterns for each, whatever the number of documents; both are
 all that reaches the driver.  Pieces find their places by their rank among the
-pieces of their length.  Ranks come from counts of (length, bucket), where a
-bucket is drawn from the id, so a length that a third of all pieces share is
-ranked in many tasks.
+pieces of their length.  Ranks come from counts of (length, bucket): a length has a
+bucket for every ``BUCKET_ROWS`` pieces, so one that a third of all pieces share
+is ranked in many tasks.
 
-Defined results: a null text is empty and a document of one token; repeated
-rows are documents of their own; a null id is kept; an empty table gives no
-rows; other columns are not read.
+Defined results: a null text is empty and a document of one token; texts of any
+length are read whole; repeated rows are documents of their own; a null id is kept;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -44,9 +51,16 @@ from pyspark.sql import functions as F
 from quarryline.llm.common import give_back_memory, materialise
 
 CAPACITY = 4096
-ROUNDS = 600
-STEP = 0.1
-BUCKETS = 64
+ROUNDS = 60
+# (share of a length's demand that one round may cover, rate of the weights, slack against the best filling's worth,
+# whether prices start anew from what is left).
+# The first suits histograms that can be packed nearly without waste, where weights decide between fillings that waste
+# alike; the second, slower, others.
+PACES = ((0.5, 0.001, 0.0005, False), (0.1, 0.3, 0.02, True))
+GAP = 0.005  # above the dual bound: from there on the second pace is tried
+COVER = 0.98
+PRICED = 400  # lengths that a round's dynamic program fills with
+BUCKET_ROWS = 1 << 20
 END_ID = 1
 CACHE_WORDS = 300_000
 CACHE_PIECES = 300_000
@@ -163,54 +177,89 @@ def tokenise_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
 # The plan: patterns {length: times} and how often each is used
 
 
-def price_pattern(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths worth most that fits: an unbounded knapsack by dynamic programming."""
-    worth = np.full(capacity + 1, -np.inf)
-    worth[lengths] = prices
-    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+def filling_values(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """What the best multiset of lengths in each capacity is worth: an unbounded knapsack by dynamic programming."""
+    best, room = np.zeros(capacity + 1), np.empty(len(lengths))
+    fit = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
-        # Last item of length l, on top of the best filling of c - l; or a token left empty.
-        options = worth[1 : c + 1] + best[c - 1 :: -1][:c] if c > 1 else worth[1:2] + best[:1]
-        l = int(options.argmax())
-        if options[l] > best[c - 1]:
-            best[c], took[c] = options[l], l + 1
-        else:
-            best[c] = best[c - 1]
+        best[c] = best[c - 1]  # a token left empty
+        if k := fit[c]:
+            best[c] = max(best[c], np.add(best[c - lengths[:k]], prices[:k], out=room[:k]).max())
+    return best
+
+
+def fill(capacity: int, values: np.ndarray, prices: np.ndarray, lengths: np.ndarray) -> dict[int, int]:
+    """A filling of the capacity, {place in lengths: times}: each time the length that leaves most; a price of -inf is out of stock."""
     pattern: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if took[c]:
-            pattern[int(took[c])] = pattern.get(int(took[c]), 0) + 1
-            c -= int(took[c])
-        else:
-            c -= 1
+    while capacity > 0 and (k := int(np.searchsorted(lengths, capacity, "right"))):
+        worth = prices[:k] + values[capacity - lengths[:k]]
+        i = int(worth.argmax())
+        if not worth[i] > 0:
+            break
+        pattern[i] = pattern.get(i, 0) + 1
+        capacity -= int(lengths[i])
     return pattern
 
 
-def solve_configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[dict[int, int], float]]:
-    """Patterns with fractional amounts that together cover the demand, by multiplicative weights."""
-    index = {int(l): i for i, l in enumerate(lengths)}
-    covered = np.zeros(len(lengths))
-    prices = lengths / capacity  # a first guess at the dual: a length's share of a sequence
+def price_pattern(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
+    """The multiset of lengths worth most that fits."""
+    pattern = fill(capacity, filling_values(prices, lengths, capacity), prices, lengths)
+    return {int(lengths[i]): n for i, n in pattern.items()}
+
+
+def first_prices(lengths: np.ndarray, demand: np.ndarray, capacity: int, extra: float = 0.0) -> tuple[np.ndarray, float]:
+    """Prices under which no filling is worth more than a sequence, and how many sequences that proves necessary.
+
+    Of the dual-feasible step functions, the one that proves most: lengths below a bound are free, those above the
+    capacity less the bound cost a sequence, others their share of one.  A share of ``extra`` is the plain share of
+    a sequence, so that free lengths are better than empty places.
+    """
+    bounds = np.unique(np.concatenate([[0], lengths[2 * lengths <= capacity], capacity - lengths[2 * lengths > capacity] + 1]))
+    bounds = bounds[2 * bounds <= capacity]
+    pieces, tokens = (np.concatenate([[0.0], np.cumsum(x)]) for x in (demand, demand * lengths))
+    low, high = np.searchsorted(lengths, bounds), np.searchsorted(lengths, capacity - bounds, "right")
+    proved = pieces[-1] - pieces[high] + (tokens[high] - tokens[low]) / capacity
+    bound = bounds[int(proved.argmax())]
+    price = np.where(lengths < bound, 0.0, np.where(lengths > capacity - bound, 1.0, lengths / capacity))
+    return price * (1 - extra) + lengths / capacity * extra, float(proved.max())
+
+
+def solve_configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS, pace: tuple[float, float, float, bool] = PACES[0], seed: int = 0) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Patterns with fractional amounts that cover no more than the demand, by multiplicative weights, and the share of all tokens they cover."""
+    (step, rate, slack, anew), rng = pace, np.random.default_rng(seed)
+    left, weight = demand.astype(float), np.ones(len(lengths))
+    total, covered, idle = float(lengths @ demand), 0.0, 0
     amounts: dict[tuple, float] = {}
     for _ in range(rounds):
-        pattern = price_pattern(prices, lengths, capacity)
-        if not pattern:
+        live = np.flatnonzero(left > 1e-6 * demand)
+        if not len(live) or covered >= COVER or idle == 3:
             break
-        at = np.array([index[l] for l in pattern])
-        times = np.array(list(pattern.values()), float)
-        # Enough of it to raise its scarcest length by a step of its whole demand.
-        amount = step * (demand[at] / times).min()
-        covered[at] += amount * times
-        prices[at] *= np.exp(-amount * times / demand[at])
-        prices[prices < 1e-250] = 1e-250
-        key = tuple(sorted(pattern.items()))
-        amounts[key] = amounts.get(key, 0.0) + amount
-    if not amounts:
-        return []
-    # Scale so that no length is over-covered: what remains is packed by best fit.
-    over = float((covered / demand).max())
-    return [(dict(k), a / max(over, 1.0)) for k, a in amounts.items()]
+        price = first_prices(lengths, left if anew else demand, capacity, slack / 5)[0] * weight
+        some = live if len(live) <= PRICED else np.sort(rng.choice(live, PRICED, replace=False))
+        own, offered = lengths[some], price[some]
+        values = filling_values(offered, own, capacity)
+        place = {int(j): i for i, j in enumerate(some)}
+        quota = np.minimum(left, step * demand)
+        least = 0.02 * quota  # what is left of a quota below this would be bought in crumbs
+        for i in live[::-1].tolist():
+            if quota[i] <= least[i]:
+                continue
+            pattern = {int(some[k]): n for k, n in fill(capacity - int(lengths[i]), values, offered, own).items()}
+            pattern[i] = pattern.get(i, 0) + 1
+            if sum(price[j] * n for j, n in pattern.items()) < (1 - slack) * values[capacity]:
+                continue
+            amount = min(quota[j] / n for j, n in pattern.items())
+            for j, n in pattern.items():
+                quota[j] -= amount * n
+                left[j] -= amount * n
+                if quota[j] <= least[j] and j in place:
+                    offered[place[j]] = -np.inf
+            key = tuple(sorted((int(lengths[j]), n) for j, n in pattern.items()))
+            amounts[key] = amounts.get(key, 0.0) + amount
+        before, covered = covered, 1 - float(lengths @ left) / total
+        idle = idle + 1 if covered - before < 1e-4 else 0
+        weight = np.exp(rate * (left / demand - (1 - covered)))
+    return [(dict(k), a) for k, a in amounts.items()], covered
 
 
 def best_fit_patterns(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -241,25 +290,35 @@ def best_fit_patterns(left: dict[int, int], capacity: int) -> list[tuple[dict[in
 
 
 def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Patterns with whole numbers of uses that place exactly the histogram's pieces."""
-    left = {l: n for l, n in histogram.items() if n > 0}
-    plan: list[tuple[dict[int, int], int]] = []
-    if left.get(capacity):
-        plan.append(({capacity: 1}, left.pop(capacity)))
-    if left:
-        lengths = np.array(sorted(left), np.int64)
-        demand = np.array([left[int(l)] for l in lengths], float)
-        for pattern, amount in solve_configurations(lengths, demand, capacity, rounds):
-            times = min([int(amount + 1e-9), *(left[l] // n for l, n in pattern.items())])
+    """Patterns with whole numbers of uses that place exactly the histogram's pieces: those of the program, then best fit."""
+    program, left = round_program(histogram, capacity, rounds)
+    return program + best_fit_patterns(left, capacity)
+
+
+def round_program(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """The program's patterns with whole numbers of uses, and the pieces that are left."""
+    pieces = {l: n for l, n in histogram.items() if n > 0}
+    full = [({capacity: 1}, pieces.pop(capacity))] if capacity in pieces else []
+    if not pieces:
+        return full, {}
+    lengths = np.array(sorted(pieces), np.int64)
+    demand = np.array([pieces[int(l)] for l in lengths], float)
+    needed, best = first_prices(lengths, demand, capacity)[1], None
+    for pace in PACES:
+        plan, left = [], dict(pieces)
+        solved, _ = solve_configurations(lengths, demand, capacity, rounds, pace)
+        for pattern, amount in sorted(solved, key=lambda x: -x[1]):
+            times = min([int(np.ceil(amount - 1e-9)), *(left[l] // n for l, n in pattern.items())])
             if times > 0:
                 plan.append((pattern, times))
                 for l, n in pattern.items():
                     left[l] -= n * times
-    greedy = best_fit_patterns({l: n for l, n in histogram.items() if l != capacity}, capacity)
-    fixed = plan + best_fit_patterns(left, capacity)
-    whole = [x for x in plan if x[0] == {capacity: 1}] + greedy
-    # Rounding a program with little demand for each length can lose to plain best fit.
-    return min(fixed, whole, key=lambda p: sum(t for _, t in p))
+        count = sum(t for _, t in plan + best_fit_patterns(left, capacity))
+        if best is None or count < best[0]:
+            best = count, plan, left
+        if count <= np.ceil(needed * (1 + GAP)):
+            break
+    return full + best[1], best[2]
 
 
 def place_table(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
@@ -282,17 +341,20 @@ def place_table(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]
 # Putting pieces in their places
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, rounds: int = ROUNDS, buckets: int = BUCKETS, end_id: int = END_ID, encoder: Callable[[str], Callable[[str], bytes]] = word_encoder) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, rounds: int = ROUNDS, bucket_rows: int = BUCKET_ROWS, end_id: int = END_ID, encoder: Callable[[str], Callable[[str], bytes]] = word_encoder) -> DataFrame:
     """A row for each piece: where it is cut from and where it is placed."""
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")
-    pieces = materialise(tokenise_pieces(docs, tokenizer_path, capacity, end_id, encoder).withColumn("_bucket", bucket), "pieces")
-    # At most (capacity x buckets) rows reach the driver.
-    counts = pieces.groupBy("length", "_bucket").agg(F.count("*").alias("n")).orderBy("length", "_bucket").collect()
-    histogram: dict[int, int] = {}
-    before = np.zeros((capacity + 1, buckets), np.int64)
-    for r in counts:
-        before[r["length"], r["_bucket"]] = histogram.get(r["length"], 0)
-        histogram[r["length"]] = histogram.get(r["length"], 0) + r["n"]
+    pieces = materialise(tokenise_pieces(docs, tokenizer_path, capacity, end_id, encoder).withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    # At most a row a length, then a row a length and a row for each ``bucket_rows`` pieces, reach the driver.
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    buckets = [-(-histogram.get(l, 1) // bucket_rows) for l in range(capacity + 1)]
+    of_length = F.split(F.lit(",".join(map(str, buckets))), ",").cast("array<int>")
+    pieces = pieces.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.get(of_length, F.col("length").cast("int"))).cast("int"))
+    before = np.zeros((capacity + 1, max(buckets)), np.int64)
+    if max(buckets) > 1:
+        ranked: dict[int, int] = {}
+        for r in pieces.groupBy("length", "_bucket").agg(F.count("*").alias("n")).orderBy("length", "_bucket").collect():
+            before[r["length"], r["_bucket"]] = ranked.get(r["length"], 0)
+            ranked[r["length"]] = ranked.get(r["length"], 0) + r["n"]
     table = place_table(plan_sequences(histogram, capacity, rounds))
     shared = docs.sparkSession.sparkContext.broadcast((before, table))
 
@@ -312,7 +374,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, rounds:
                 offset[rows] = hit[:, 3] + into % hit[:, 1] * l
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")], pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    order = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
+    order = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "_row")
     ranked = pieces.withColumn("_rank", (F.row_number().over(order) - 1).cast("bigint"))
     return ranked.mapInArrow(place, f"{PIECES}, sequence_id bigint, offset bigint")
 

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quarryline.llm.packing import pack, place_table, plan_sequences, price_pattern, tokenizer_file, word_encoder
+from quarryline.llm.packing import best_fit_patterns, pack, place_table, plan_sequences, price_pattern, round_program, solve_configurations, tokenizer_file, word_encoder
 
 
 @pytest.fixture(scope="module")
@@ -84,3 +84,25 @@ def test_plans_place_every_piece(seed):
     assert placed == histogram
     assert sum(t for _, t in plan) <= 1.05 * least_sequences(histogram, 256) + 5
     assert all((np.diff(r[:, 0]) > 0).all() for r in place_table(plan).values())
+
+
+def test_the_program_places_nearly_all():
+    """Demand of many pieces a length: the program covers it, its rounded patterns keep it, and best fit does no better."""
+    rng = np.random.default_rng(4)
+    lengths = np.minimum(rng.lognormal(6.4, 0.9, 10_000).astype(int) + 1, 4095)
+    for scale, share in ((1, 0.8), (25, 0.9), (300, 0.9)):
+        histogram = {int(l): int(n) * scale for l, n in zip(*np.unique(lengths, return_counts=True), strict=True)}
+        solved, covered = solve_configurations(np.array(list(histogram)), np.array(list(histogram.values()), float), 4096)
+        assert covered > 0.95 and all(sum(l * n for l, n in p.items()) <= 4096 for p, _ in solved)
+        program, left = round_program(histogram)
+        rest = best_fit_patterns(left, 4096)
+        count = lambda plan: sum(t for _, t in plan)
+        assert count(program) >= share * (count(program) + count(rest))
+        assert count(program) + count(rest) <= count(best_fit_patterns(histogram, 4096)) * 1.0005 + 1
+
+
+def test_a_length_of_many_pieces_is_ranked_in_buckets(spark, tokenizer):
+    docs = spark.range(600).selectExpr("id % 40 as doc_id", "if(id % 3 = 0, 'a b', concat('word ', id)) as text")
+    rows = pack(docs, tokenizer_file(), 16, bucket_rows=37).collect()
+    places = {(r.sequence_id, r.offset + k) for r in rows for k in range(r.length)}
+    assert len(rows) == 600 and len(places) == sum(r.length for r in rows) and max(o for _, o in places) < 16
