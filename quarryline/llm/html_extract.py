@@ -19,7 +19,7 @@ never main text on the labelled pages; in an article they come out positive.
 
 The text is that of the stretch's blocks, in page order: character references
 decoded, white space inside a block turned into one space, blocks trimmed and
-joined by a line feed.  A line break inside a block is white space.
+joined by two line feeds.  A line break inside a block is white space.
 
 Defined results: null and empty pages give an empty text; markup that ends in
 the middle is read as far as it goes; a page without tags is all text; a null
@@ -230,10 +230,10 @@ def features(tokens: list[tuple]) -> Iterator[tuple[object, int]]:
 
 
 def learn_weights(labelled: list[tuple[str, str]], smoothing: float = 0.5) -> dict:
-    """Log-odds from (html, main text) pairs; every block of a main text is one line of it."""
+    """Log-odds from (html, main text) pairs; blocks of a main text are parted by two line feeds."""
     inside, outside = Counter(), Counter()
     for page, text in labelled:
-        blocks = set(text.split("\n"))
+        blocks = set(text.split("\n\n"))
         tokens = parse(page)
         marks = [t[0] == "text" and bool(b := " ".join(_html.unescape(t[1]).split())) and any(b in x for x in blocks) for t in tokens]
         hits = [i for i, x in enumerate(marks) if x]
@@ -265,7 +265,7 @@ def labelled_pages() -> list[tuple[str, str]]:
         top = f"<nav><ul>{links}</ul></nav><div class='ad'>{say(9)}</div>" if k % 3 else f"<ul>{links}</ul>"
         beside = f"<div>{say(6, k + 1)}</div>" if k % 4 != 3 else ""
         bottom = f"<footer>{say(7)}</footer>" if k % 2 else f"<div>{''.join(f'<a href=/{i}>{say(2, i + 9)}</a>' for i in range(4))}</div>"
-        out.append((f"<!DOCTYPE html><html><head><title>{blocks[0]}</title></head><body>{top}{beside}{box[0]}{body}{box[1]}{beside}{bottom}</body></html>", "\n".join(blocks)))
+        out.append((f"<!DOCTYPE html><html><head><title>{blocks[0]}</title></head><body>{top}{beside}{box[0]}{body}{box[1]}{beside}{bottom}</body></html>", "\n\n".join(blocks)))
     return out
 
 
@@ -303,7 +303,7 @@ def extract(page: str | None, weights: dict) -> str:
     if words:
         blocks.append(words)
     lines = (" ".join(_html.unescape("".join(b)).split()) for b in blocks)
-    return "\n".join(x for x in lines if x)
+    return "\n\n".join(x for x in lines if x)
 
 
 def html_extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", labelled: list[tuple[str, str]] | None = None) -> DataFrame:

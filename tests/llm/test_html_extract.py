@@ -19,7 +19,7 @@ def test_test_pages_give_the_article(spark, sf):
     for r in html_extract(spark.read.parquet(f"{sf}/pages.parquet")).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect():
         inner = r.html[r.html.index("<article>") + 9 : r.html.index("</article>")]
         blocks = [" ".join(H.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", b))).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
-        assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+        assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
 PAGE = """<html><body><header class="top"><a href=/>Home page of things</a></header><nav><a>One</a> <a>Two</a></nav>
@@ -33,12 +33,12 @@ PAGE = """<html><body><header class="top"><a href=/>Home page of things</a></hea
 
 
 def test_parts_around_and_inside_an_article(weights):
-    assert extract(PAGE, weights).split("\n") == ["Title & more", "First paragraph of bold text here, with quite a few words in it.", "one item", "two item", "Last paragraph, cut by a line break and <escaped> © signs."]
+    assert extract(PAGE, weights).split("\n\n") == ["Title & more", "First paragraph of bold text here, with quite a few words in it.", "one item", "two item", "Last paragraph, cut by a line break and <escaped> © signs."]
 
 
 def test_a_page_without_article(weights):
     page = "<body><ul class=menu><li><a>Home</a><li><a>About</a></ul><div><p>The first paragraph has many words in it for sure.</p><p>The second one has many words as well, no less.</p></div><div><a>x</a> <a>y</a></div></body>"
-    assert extract(page, weights) == "The first paragraph has many words in it for sure.\nThe second one has many words as well, no less."
+    assert extract(page, weights) == "The first paragraph has many words in it for sure.\n\nThe second one has many words as well, no less."
 
 
 def test_odd_input(spark, weights):
@@ -56,7 +56,7 @@ def test_odd_input(spark, weights):
 
 def test_comments_marked_up_as_articles(weights):
     page = "<main><article><p>The story has a number of words.</p></article><article class='comment'><p>A reader writes some words.</p></article><article><p>And the story goes on with more.</p></article></main><div>Not this, ever, at all.</div>"
-    assert extract(page, weights) == "The story has a number of words.\nAnd the story goes on with more."
+    assert extract(page, weights) == "The story has a number of words.\n\nAnd the story goes on with more."
 
 
 def test_markup_that_never_closes_takes_linear_time(weights):
@@ -85,9 +85,9 @@ LINES = ["A title of it", "The story has a good number of words in it.", "And it
     ],
 )
 def test_what_holds_the_article_stays(weights, page):
-    assert [x for x in extract(page, weights).split("\n") if x] == LINES
+    assert extract(page, weights).split("\n\n") == LINES
 
 
 def test_ids_of_sections_in_an_article(weights):
     page = f"<body><article>{STORY}<section id='discussion'><h2 id='side-effects'>Side effects seen</h2><p>What was seen is told here in words.</p></section><div id='related'><a href=/1>Other story</a> <a href=/2>Next one</a></div></article></body>"
-    assert extract(page, weights).split("\n") == [*LINES, "Side effects seen", "What was seen is told here in words."]
+    assert extract(page, weights).split("\n\n") == [*LINES, "Side effects seen", "What was seen is told here in words."]
