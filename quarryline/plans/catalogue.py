@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from quarryline.functions import bytes_humanize, bytes_parse, column_file_name, combine_hashes, hash_int32, next_pow2, partition_of, profit, round_up, slot_of, table_size
 from quarryline.operators import aggregates, filters, joins, report, sets
 from quarryline.plans import star
-from quarryline.sources import table
+from quarryline.schema import rows_at
+from quarryline.session import scratch_folder
+from quarryline.sources import append_report, read_raw_columns, read_report, table, uniform_columns, write_raw_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,7 +148,7 @@ def _(spark, d):
 
 @query("join_semi", f"with lo as ({LINEORDER_SQL}), s as ({SUPPLIER_SQL}) select lo_orderdate, lo_custkey, lo_partkey, lo_suppkey, lo_revenue, lo_supplycost from lo where lo_suppkey in (select s_suppkey from s where s_region = 1)")
 def _(spark, d):
-    lines = joins.semi(star.lineorder(spark, d), star.supplier(spark, d).where("s_region = 1"), "lo_suppkey", "s_suppkey")
+    lines = star.lineorder(spark, d, suppliers=star.supplier(spark, d).where("s_region = 1"))
     return lines.select("lo_orderdate", "lo_custkey", "lo_partkey", "lo_suppkey", "lo_revenue", "lo_supplycost")
 
 
@@ -161,7 +163,7 @@ def _(spark, d):
 @query("agg_sum_single", "select l_partkey, cast(sum(l_partkey) as bigint) as total from lineitem where l_quantity < 40 and l_partkey in (select l_partkey from lineitem where l_quantity < 40) group by 1")
 def _(spark, d):
     kept = filters.less_than(table(spark, d, "lineitem", "l_partkey", "l_quantity"), ["l_quantity"], 40).select("l_partkey")
-    return aggregates.sum_by(joins.semi(kept, kept, "l_partkey", "l_partkey"), ["l_partkey"], F.col("l_partkey"), "total")
+    return aggregates.sum_by(joins.semi(kept, kept.distinct(), "l_partkey", "l_partkey"), ["l_partkey"], F.col("l_partkey"), "total")
 
 
 @query("agg_sum_composite", f"with lo as ({LINEORDER_SQL}) select lo_suppkey, lo_orderdate // 10000 as lo_year, cast(sum(lo_revenue - lo_supplycost) as bigint) as profit from lo group by 1, 2")
@@ -305,6 +307,54 @@ def _(spark, d):
     return text.select(F.from_csv("line", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")).alias("r")).select("r.*")
 
 
+@query("csv_report_file", f"select kernel, cols, threads, bytes, time from ({REPORT_SQL})")
+def _(spark, d):
+    """Through files: two appends to one folder, the header before the first rows only."""
+    frame, path = _report(spark, d), scratch_folder(spark, "report")
+    first = F.col("cols") == 0
+    append_report(frame.where(first), path)
+    append_report(frame.where(~first), path)
+    return read_report(spark, path, frame.schema)
+
+
+@query("raw_column_files", "select cast(p_partkey as int) as p_partkey, p_size from part")
+def _(spark, d):
+    """Through raw files, one a column, written in the order of the key; a load by the raw reader makes them a Parquet table."""
+    path = scratch_folder(spark, "raw").removeprefix("file://")
+    write_raw_columns(table(spark, d, "part", "p_partkey", "p_size").withColumn("p_partkey", F.col("p_partkey").cast("int")), path, "p_partkey", ["p_partkey", "p_size"])
+    loaded = scratch_folder(spark, "loaded")
+    read_raw_columns(spark, path, ["p_partkey", "p_size"]).write.parquet(loaded)
+    return spark.read.parquet(loaded)
+
+
+@query("label_order", f"""select label, row_number() over (order by size) as position
+  from (select human as label, min({PARSE_SQL.format(t='human')}) as size from (select {HUMAN_SQL.format(b='bytes')} as human from ({REPORT_SQL})) group by human)""")
+def _(spark, d):
+    labels = report.distinct_values(_report(spark, d).select(bytes_humanize(F.col("bytes")).alias("label")), "label")
+    return report.order_labels(labels, "label")
+
+
+@query("report_key_order", f"select *, row_number() over (order by cols, threads) as position from (select cols, threads, min(time) as best_time from ({REPORT_SQL}) group by all)")
+def _(spark, d):
+    return report.order_keys(report.best_by(_report(spark, d), ["cols", "threads"], "time", "best_time"), ["cols", "threads"])
+
+
+@query("synthetic_columns", "select cast(100000 as bigint) as n, cast(100000 as bigint) as repeated, true as in_range, true as spread")
+def _(spark, d):
+    """Uniform integers below 10000 in columns that repeat the first."""
+    c = uniform_columns(spark, 100_000, 3)
+    near = lambda share: F.abs(F.avg((F.col("c0") < int(10_000 * share)).cast("double")) - share) < 0.01
+    return c.agg(F.count("*").alias("n"), F.count_if((F.col("c0") == F.col("c1")) & (F.col("c0") == F.col("c2"))).alias("repeated"), ((F.min("c0") >= 0) & (F.max("c0") < 10_000)).alias("in_range"), (near(0.2) & near(0.8)).alias("spread"))
+
+
+_ROWS_SQL = " union all ".join(f"select {f} as scale_factor, '{t}' as star_table, cast({n} as bigint) as n_rows" for f in (1, 10) for t, n in rows_at(f).items())
+
+
+@query("scale_factor_rows", _ROWS_SQL)
+def _(spark, d):
+    return spark.createDataFrame([(f, t, n) for f in (1, 10) for t, n in rows_at(f).items()], "scale_factor int, star_table string, n_rows bigint")
+
+
 _FILES_SQL = "select c as column_name, case c when 'lo_revenue' then 'LINEORDER12' when 'd_year' then 'DDATE4' when 's_region' then 'SUPPLIER5' when 'p_mfgr' then 'PART2' when 'c_nation' then 'CUSTOMER4' when 'c_none' then 'CUSTOMER-1' else '' end as file from (select unnest(['lo_revenue', 'd_year', 's_region', 'p_mfgr', 'c_nation', 'c_none', 'x_none']) as c)"
 
 

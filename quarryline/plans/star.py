@@ -17,11 +17,23 @@ def _yyyymmdd(ts: Column) -> Column:
     return (F.year(ts) * 10000 + F.month(ts) * 100 + F.dayofmonth(ts)).cast("int")
 
 
-def lineorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each order line; money in whole cents."""
+def lineorder(spark: SparkSession, sf_dir: str, suppliers: DataFrame | None = None, parts: DataFrame | None = None, customers: DataFrame | None = None) -> DataFrame:
+    """A row for each order line; money in whole cents.
+
+    Suppliers (``s_suppkey``) and parts (``p_partkey``) keep only the lines that match, before lines meet orders;
+    customers (``c_custkey`` and more) join orders before those meet the lines, and their other columns are added.
+    """
     line = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount")
     order = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     item = table(spark, sf_dir, "part", "p_partkey", "p_retailprice")
+    if suppliers is not None:
+        line = joins.semi(line, suppliers, "l_suppkey", "s_suppkey")
+    if parts is not None:
+        line = joins.semi(line, parts, "l_partkey", "p_partkey")
+    added = []
+    if customers is not None:
+        order = order.join(customers.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
+        added = [c for c in customers.columns if c != "c_custkey"]
     joined = line.join(order, line.l_orderkey == order.o_orderkey).join(item, line.l_partkey == item.p_partkey)
     return joined.select(
         _yyyymmdd(F.col("o_orderdate")).alias("lo_orderdate"),
@@ -30,6 +42,7 @@ def lineorder(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("lo_suppkey"),
         F.floor(F.round(F.col("l_extendedprice") * 100) * (100 - F.round(F.col("l_discount") * 100)) / 100).cast("bigint").alias("lo_revenue"),
         F.floor(F.round(F.col("p_retailprice") * 100) * 6 / 10).cast("bigint").alias("lo_supplycost"),
+        *added,
     )
 
 
@@ -56,15 +69,14 @@ def date(spark: SparkSession, sf_dir: str) -> DataFrame:
 def star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines that match all four dimensions.
 
-    Supplier and part only decide whether a line stays, so they are semi-joins;
-    customer and date have unique keys and each adds a column.
+    Supplier and part only decide whether a line stays: semi-joins on the fact, below its join with orders.
+    The customer adds its nation to the orders that it filters.  A line's day is one of the date dimension,
+    which holds all order days, so its year is taken from the day itself.
     """
-    lines = lineorder(spark, sf_dir)
-    lines = joins.semi(lines, supplier(spark, sf_dir).where(F.col("s_region") == REGION), "lo_suppkey", "s_suppkey")
-    chosen = customer(spark, sf_dir).where(F.col("c_region") == REGION).select(F.col("c_custkey").alias("lo_custkey"), "c_nation")
-    lines = lines.join(chosen, "lo_custkey")
-    lines = joins.semi(lines, part(spark, sf_dir).where(F.col("p_mfgr").isin(*MANUFACTURERS)), "lo_partkey", "p_partkey")
-    return lines.join(date(spark, sf_dir).withColumnRenamed("d_datekey", "lo_orderdate"), "lo_orderdate")
+    suppliers = supplier(spark, sf_dir).where(F.col("s_region") == REGION)
+    parts = part(spark, sf_dir).where(F.col("p_mfgr").isin(*MANUFACTURERS))
+    customers = customer(spark, sf_dir).where(F.col("c_region") == REGION).select("c_custkey", "c_nation")
+    return lineorder(spark, sf_dir, suppliers, parts, customers).withColumn("d_year", F.floor(F.col("lo_orderdate") / 10000).cast("int"))
 
 
 def q41(spark: SparkSession, sf_dir: str) -> DataFrame:

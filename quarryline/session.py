@@ -5,6 +5,10 @@ A cluster brings its own session; nothing here overrides what it has set.
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -23,3 +27,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | extra
     return SparkSession.builder.config(map=conf).getOrCreate()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path under ``spark.checkpoint.dir``, which executors share; a temporary one on a local session without it."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="quarryline-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -87,12 +87,12 @@ def write_raw_columns(df: DataFrame, folder: str, order_by: str, columns: list[s
 
     Rows are sorted by range, each partition is counted, and every task then
     writes at its own offset of the files.  Only one number a partition comes
-    to the driver.  Task retries write the same bytes again.
+    to the driver.  Ties of ``order_by`` are ordered by the columns, so a task that runs again writes the same bytes again.
     """
     import numpy as np
 
     dtype, width = KINDS[kind][0], np.dtype(KINDS[kind][0]).itemsize
-    ordered = df.select(order_by, *[F.col(c) for c in columns if c != order_by]).orderBy(order_by).persist()
+    ordered = df.select(order_by, *[F.col(c) for c in columns if c != order_by]).orderBy(order_by, *[c for c in columns if c != order_by]).persist()
     counts = {r.p: r.n for r in ordered.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
     starts, total = {}, 0
     for p in sorted(counts):

@@ -63,3 +63,17 @@ def test_empty_inputs(spark):
     assert [r.duplicates for r in aggregates.duplicate_count(none, "k").collect()] == [0]
     assert filters.exclusive_scan(filters.worker_counts(none, F.col("k"), F.col("v") > 0)).collect() == []
     assert joins.first_match(none, none.withColumnsRenamed({"k": "k2", "v": "v2"}), "k", "k2", "v2").collect() == []
+
+
+def test_semi_joins_are_below_the_join_with_orders(spark, sf):
+    """Broadcast or not, lines are cut down by supplier and part before they meet orders."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tree = star.star_join(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    lines = tree.splitlines()
+    semi = [depth(x) for x in lines if "LeftSemi" in x]
+    orders = next(depth(x) for x in lines if "Join Inner, (l_orderkey" in x or "= o_orderkey" in x)
+    assert len(semi) == 2 and min(semi) > orders

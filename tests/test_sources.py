@@ -63,3 +63,11 @@ def test_streaming_windows_close(spark, tmp_path):
     query.stop()
     got = spark.table("windows").collect()
     assert got and all(r.s == 10 for r in got)
+
+
+def test_a_report_has_one_header(spark, tmp_path):
+    row = spark.createDataFrame([("WarpLevel", 1, 1024, 4000, 8, 64, 1.5, 0)], REPORT)
+    for _ in range(2):
+        append_report(row.repartition(3), str(tmp_path / "r"))
+    lines = [x for f in (tmp_path / "r").glob("part-*") for x in f.read_text().splitlines()]
+    assert sum(x.startswith("Kernel type") for x in lines) == 1 and len(lines) == 3
