@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import materialise
+from quarryline.llm.common import materialise, scratch
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -237,29 +237,60 @@ def smallest_hashes(docs: DataFrame, rows_per_language: int) -> DataFrame:
 
     A language's size says below which hash enough of its documents lie (by six
     standard deviations), so few rows more than are chosen come together in one
-    task, whatever share of the rows a language has.
+    task, whatever share of the rows a language has.  Where too few lie there, as repeated
+    rows share a hash, each task sends its own smallest hashes instead.
     """
     key = F.xxhash64("doc_id", "text")
-    labelled = docs.where("lang is not null and text is not null")
+    labelled = docs.where("lang is not null and text is not null").select("lang", "text", "doc_id", key.alias("k"))
     sizes = materialise(labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n")), "languages")
     enough = rows_per_language + 6 * math.sqrt(rows_per_language)
-    place = (F.shiftrightunsigned("k", 11) / F.lit(float(1 << 53))).alias("_place")
-    near = labelled.select("lang", "text", "doc_id", key.alias("k")).join(sizes, F.col("lang") == F.col("_lang")).where(place <= enough / F.col("_n"))
+    place = F.shiftrightunsigned("k", 11) / F.lit(float(1 << 53))
     first = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("k", 11), "k", "doc_id")
-    return near.select("lang", "text", "k", F.row_number().over(first).alias("r")).where(F.col("r") <= rows_per_language)
+
+    def smallest(rows: DataFrame) -> DataFrame:
+        return rows.select("lang", "text", "k", F.row_number().over(first).alias("r")).where(F.col("r") <= rows_per_language)
+
+    near = labelled.join(sizes, F.col("lang") == F.col("_lang")).where(place <= enough / F.col("_n"))
+    chosen = materialise(smallest(near), "sample")
+    found = chosen.groupBy(F.col("lang").alias("_found")).agg(F.count("*").alias("_c"))
+    few = sizes.join(found, F.col("_lang") == F.col("_found"), "left").where(F.coalesce("_c", F.lit(0)) < F.least("_n", F.lit(rows_per_language)))
+    names = [r["_lang"] for r in few.select("_lang").collect()]
+    if names:
+        chosen = chosen.where(~F.col("lang").isin(names)).unionByName(smallest(labelled.where(F.col("lang").isin(names))))
+    return chosen
+
+
+def sample_features(sample: DataFrame, idf: np.ndarray) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
+    """(language, k, buckets, values) of each row of (lang, text, k), in a fixed order.
+
+    Features are counted on executors: a row of at most a few hundred kilobytes, however
+    long its text is, comes to the driver.
+    """
+    shared = sample.sparkSession.sparkContext.broadcast(idf)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = sparse_rows(b.column(1).to_pylist(), shared.value)
+            at, x = (pa.array([r[i].astype(t).tobytes() for r in rows], pa.binary()) for i, t in ((0, "<i4"), (1, "<f8")))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), at, x], names=["lang", "k", "at", "x"])
+
+    rows = sample.select("lang", "text", "k").mapInArrow(count, "lang string, k bigint, at binary, x binary").collect()
+    rows = sorted((r["lang"], r["k"], bytes(r["at"]), bytes(r["x"])) for r in rows)
+    return [(lang, k, np.frombuffer(at, "<i4").astype(np.int64), np.frombuffer(x, "<f8")) for lang, k, at, x in rows]
 
 
 def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, epochs: int = EPOCHS) -> Model:
     """Learns from all rows of columns doc_id, text, lang that it is given."""
     df, n = document_frequencies(docs)
     idf = np.log((1 + n) / (1 + df)) + 1.0
-    rows = sorted((r["lang"], r["k"], r["text"]) for r in smallest_hashes(docs, rows_per_language).collect())
+    with scratch(docs.sparkSession):
+        rows = sample_features(smallest_hashes(docs, rows_per_language), idf)
     languages = sorted({r[0] for r in rows})
     if not languages:
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0))
     labels = np.array([languages.index(r[0]) for r in rows])
-    sparse = sparse_rows([r[2] for r in rows], idf)
-    held = np.array([k % 10 == 0 for _, k, _ in rows]) if len(rows) >= 100 else np.zeros(len(rows), bool)
+    sparse = [(r[2], r[3]) for r in rows]
+    held = np.array([r[1] % 10 == 0 for r in rows]) if len(rows) >= 100 else np.zeros(len(rows), bool)
     train = np.flatnonzero(~held)
     w, bias = train_ftrl([sparse[i] for i in train], labels[train], len(languages), epochs)
     scores = np.array([x @ w[at] + bias for at, x in (sparse[i] for i in np.flatnonzero(held))]).reshape(-1, len(languages))

@@ -9,8 +9,10 @@ and Spark's FP-growth finds the token combinations that occur together.  A
 combination becomes a rule for a label if enough of its URLs have the label
 (confidence) and enough URLs hold it (support); a rule that a shorter one
 with the same label and no lower confidence covers is pruned.  Mining reads all
-labelled URLs and its result is bounded by the support: no more combinations
-than URLs have, above a fixed share.
+labelled URLs.  A combination needs a fixed share of them, but FP-growth lists every
+part of a frequent combination: k tokens that this share of the URLs have in common give
+2^k of them, so the support has to stay above the share of templates with many tokens.
+Rules come to the driver before they are pruned, and the index of those left is broadcast.
 
 A URL is matched by inverted index: each rule is listed under its rarest token,
 so a URL looks up its own tokens only.  Among the rules that hold, the one
@@ -20,7 +22,7 @@ without one, a URL is allowed.
 Defined results: a null URL and one without ``://`` have an empty host and path,
 no rule and no tokens, and are allowed; a null id is an id like any other;
 repeated rows are judged alike; an empty table gives no rows; other columns are
-not read.
+not read; URLs of any length are read whole.
 """
 
 from __future__ import annotations

@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -63,3 +65,55 @@ def test_edge_cases(edge, empty):
     nothing = L.fit(L.learnable(empty))
     assert nothing.languages == [] and L.predict(empty, model).collect() == []
     assert {r.lang_pred for r in L.predict(edge, nothing).collect()} == {"und"}
+
+
+def plain_ftrl(rows, labels, n_labels, epochs, alpha, beta, l1, l2, seed):
+    """Follow-the-regularised-leader, one weight at a time."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def w(i, k):
+        if abs(z[i, k]) <= l1:
+            return 0.0
+        return -(z[i, k] - math.copysign(l1, z[i, k])) / ((beta * 0.01 + math.sqrt(n[i, k])) / alpha + l2)
+
+    rng = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for r in rng.permutation(len(rows)):
+            at, x = [*rows[r][0], L.BUCKETS], [*rows[r][1], 0.1]
+            own = {(i, k): w(i, k) for i in at for k in range(n_labels)}
+            p = L.softmax(np.array([sum(v * own[i, k] for i, v in zip(at, x, strict=True)) for k in range(n_labels)]))
+            for i, v in zip(at, x, strict=True):
+                for k in range(n_labels):
+                    g = v * (p[k] - (k == labels[r]))
+                    s = (math.sqrt(n[i, k] + g * g) - math.sqrt(n[i, k])) / alpha
+                    z[i, k] += g - s * own[i, k]
+                    n[i, k] += g * g
+    return w
+
+
+def test_training_equals_a_plain_version_and_is_sparse():
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(30, 6, replace=False)), rng.random(6)) for _ in range(40)]
+    labels = np.array([int(r[0][0] > 3) + int(r[0][-1] > 27) for r in rows])
+    weights, bias = L.train_ftrl(rows, labels, 3, 2, l1=0.3, seed=5)
+    w = plain_ftrl(rows, labels, 3, 2, 2.0, 1.0, 0.3, 0.0005, 5)
+    assert np.allclose(weights[:30], [[w(i, k) for k in range(3)] for i in range(30)], atol=1e-9)
+    assert np.allclose(bias, [0.1 * w(L.BUCKETS, k) for k in range(3)], atol=1e-9)
+    assert (weights[30:] == 0).all() and 0 < (weights[:30] == 0).mean() < 1
+    assert (L.train_ftrl(rows, labels, 3, 2, l1=0.9, seed=5)[0] == 0).sum() > (weights == 0).sum()
+
+
+def test_temperature_has_the_highest_likelihood():
+    rng = np.random.default_rng(0)
+    scores, labels = rng.normal(0, 4, (400, 3)), np.zeros(400, int)
+    p = L.softmax(scores / 2.5)
+    labels = np.array([rng.choice(3, p=q) for q in p])
+    t = L.fit_temperature(scores, labels)
+    loss = lambda t: -np.log(L.softmax(scores / t)[np.arange(400), labels]).mean()
+    assert 1.8 < t < 3.4 and all(loss(t) <= loss(x) + 1e-9 for x in (t * 0.8, t * 1.25, 1.0, 5.0))
+
+
+def test_a_language_of_repeated_rows_is_learnt(spark):
+    rows = [(1, "der die das und nicht ist", "de")] * 300 + [(i + 2, f"the and of is not {i}", "en") for i in range(60)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), rows_per_language=40)
+    assert model.languages == ["de", "en"]
