@@ -26,13 +26,11 @@ inverted index, with DivideSkip's split into short and long lists:
    There, every class outside the largest component merges its lists and counts
    how often it meets each other class.  With T and the sizes, the count of a
    pair has a least value, below which the n-grams that are not indexed cannot
-   make up for it.  Pairs that reach it are verified where they meet, those that meet
-   most often first, one of each component before a second; components grow
-   as links are found, and what has become one is left out.  Only links come out.
-   A large gathering is split into blocks of queries and blocks of candidates, which
-   are bounded in classes and in n-grams.
-5. Verification, for 3 and 4: the sets are computed again from the texts (for 3, only
-   of pairs whose histograms allow an overlap of T) and each
+   make up for it, and the histograms bound the overlap from above; only pairs of
+   different components that pass both come out.
+   A large gathering is split into blocks of queries and blocks of candidates.
+5. Verification, for 3 and 4: pairs whose histograms bound the overlap below T
+   go.  For the others, the sets are computed again from the texts and each
    leader is searched against its candidates by DivideSkip: the candidates'
    inverted lists for the leader's n-grams are split by length, the short ones
    merged, the long ones probed by binary search for candidates that can
@@ -116,14 +114,14 @@ def set_key(s: np.ndarray) -> bytes:
 
 
 def histogram(s: np.ndarray) -> bytes:
-    """Hashes counted by their leading bits, about two a cell; one byte a cell."""
-    bits = max(4, (len(s) // 2).bit_length())
+    """Hashes counted by their leading bits, two to four cells a hash; one byte a cell."""
+    bits = max(4, (2 * len(s)).bit_length())
     return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
-def overlap_bound(a: bytes, b: bytes) -> int:
+def overlap_bound(a: bytes | np.ndarray, b: bytes | np.ndarray) -> int:
     """No two sets with these histograms share more."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    x, y = (v if isinstance(v, np.ndarray) else np.frombuffer(v, np.uint8) for v in (a, b))
     if x.max() == 255 or y.max() == 255:
         return 1 << 62
     x, y = (x, y) if len(x) <= len(y) else (y, x)
@@ -488,86 +486,48 @@ def meetings(queries: tuple, candidates: tuple, most: int = 1 << 20) -> Iterator
         a = b
 
 
-def linked_up(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], asking: tuple, asked: tuple) -> Iterator[tuple[int, int]]:
-    """The pairs that link and join two components, components growing as links are found.
-
-    Both sides hold components (numbers below their count) and sets.  A query is searched against one candidate of each
-    other component first, those it meets most often, then against more of each; whatever has become
-    one component with it is left out.
-    """
-    (own, sets), (roots, others) = asking, asked
-    parent = list(range(1 + max([-1, *own.tolist(), *roots.tolist()])))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    for i, j, times in pairs:
-        order = np.lexsort((-times, i))
-        i, j = i[order], j[order]
-        for q, rest in zip(i[np.flatnonzero(np.diff(i, prepend=-1))].tolist(), np.split(j, np.flatnonzero(np.diff(i)) + 1), strict=False):
-            left, share = rest.tolist(), 1
-            while left:
-                mine, chunk, later, taken = find(own[q]), [], [], {}
-                for c in left:
-                    r = find(roots[c])
-                    if r == mine:
-                        continue
-                    taken[r] = taken.get(r, 0) + 1
-                    (chunk if taken[r] <= share else later).append(c)
-                for first in range(0, len(chunk), 256):
-                    some = chunk[first : first + 256]
-                    for c, ok in zip(some, divide_skip(sets[q], [others[c] for c in some]), strict=True):
-                        if ok and find(roots[c]) != find(own[q]):
-                            parent[find(roots[c])] = find(own[q])
-                            yield q, c
-                left, share = later, share * 4
-
-
-def open_links(named: DataFrame, classes: DataFrame, docs: DataFrame, query_rows: int = 2048, candidate_rows: int = 16384, query_grams: int = 1 << 21, candidate_grams: int = 1 << 22) -> DataFrame:
-    """Links (a, b) that join the components of open lists, from rows (gram, key, n, root, head) of their members.
+def open_pairs(named: DataFrame, classes: DataFrame, query_rows: int = 2048, candidate_rows: int = 16384) -> DataFrame:
+    """Pairs (a, b) worth verifying, from rows (gram, key, n, root, head) of open lists.
 
     Small gatherings share a task with others, which adds no pairs: a class
-    brings all its n-grams of open lists, so a pair's count is the same anywhere.
-    A block holds a bounded number of classes and of n-grams.
+    brings all its n-grams of open lists, so a pair's count is the same anywhere,
+    and its histogram, which most pairs that do not link fail by.
     """
     here = named.select("head", "key", "n", "root").distinct()
     grams = named.groupBy(F.col("key").alias("_key")).agg(F.collect_list("gram").alias("grams"))
-    by_root = here.groupBy("head", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    size = by_root.groupBy(F.col("head").alias("_head")).agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.sum("c").alias("all"), F.max("c").alias("top"), F.sum("s").alias("s"))
-    blocks = lambda rows, some, most: F.greatest(F.ceil(rows / some), F.ceil(F.col("s") / most)).cast("int")
-    asking = F.col("all") - F.col("top")
-    size = size.select("_head", "most", F.when(asking > 0, blocks(asking, query_rows, query_grams)).otherwise(0).alias("q"), blocks(F.col("all"), candidate_rows, candidate_grams).alias("c"))
+    by_root = here.groupBy("head", "root").agg(F.count("*").alias("c"))
+    size = by_root.groupBy(F.col("head").alias("_head")).agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.sum("c").alias("all"), F.max("c").alias("top"))
+    size = size.select("_head", "most", F.ceil((F.col("all") - F.col("top")) / query_rows).cast("int").alias("q"), F.ceil(F.col("all") / candidate_rows).cast("int").alias("c"))
     sized = materialise(here.join(size, F.col("head") == F.col("_head")).where("q > 0").select("head", "key", "n", "root", "q", "c", (F.col("root") != F.col("most")).alias("asks")), "sized")
-    rows, total = sized.agg(F.count("*"), F.sum("n")).first()
-    shares = max(1, math.ceil(rows / query_rows), math.ceil((total or 0) / query_grams))
+    shares = max(1, math.ceil(sized.count() / query_rows))
     small = (F.col("q") == 1) & (F.col("c") == 1)
     place = F.when(small, F.pmod(F.xxhash64("head"), F.lit(shares)).cast("string")).otherwise(F.hex("head"))
-    dealt = sized.groupBy(place.alias("h"), "key").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.max("asks").alias("asks"), F.max("q").alias("q"), F.max("c").alias("c"))
-    full, written = class_sets(sized, classes, docs)
-    met = grams.join(full.withColumnRenamed("grams", "own"), F.col("_key") == F.col("key")).drop("key")
-    gathered = materialise(dealt.join(met, F.col("key") == F.col("_key")).drop("_key"), "gathered", frees=(sized, written))
+    rows = sized.groupBy(place.alias("h"), "key").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.max("asks").alias("asks"), F.max("q").alias("q"), F.max("c").alias("c"))
+    grams = grams.join(classes.select(F.col("key").alias("_own"), "cells"), F.col("_key") == F.col("_own")).drop("_own")
+    rows = materialise(rows.join(grams, F.col("key") == F.col("_key")).drop("_key"), "gathered", frees=(sized,))
     part = lambda n, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    carried = ("key", "n", "root", "grams", "own")
-    left = gathered.where("asks").select(F.col("h").alias("h1"), part("q", 1).alias("i1"), every("c").alias("j1"), *[F.col(c).alias(f"{c}1") for c in carried])
-    right = gathered.select("h", every("q").alias("i"), part("c", 2).alias("j"), *carried)
+    left = rows.where("asks").select(F.col("h").alias("h1"), part("q", 1).alias("i1"), every("c").alias("j1"), F.col("key").alias("key1"), F.col("n").alias("n1"), F.col("root").alias("root1"), F.col("grams").alias("grams1"), F.col("cells").alias("cells1"))
+    right = rows.select("h", every("q").alias("i"), part("c", 2).alias("j"), "key", "n", "root", "grams", "cells")
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
         found = []
         if a.num_rows and b.num_rows:
             roots = pa.chunked_array([*a["root1"].chunks, *b["root"].chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
-            sides, sets = [], []
+            sides = []
             for t, end, r in ((a, "1", roots[: a.num_rows]), (b, "", roots[a.num_rows :])):
                 g = t["grams" + end].combine_chunks()
                 sides.append((t["n" + end].to_numpy().astype(np.int64), r, g.flatten().to_numpy(), pc.list_value_length(g).to_numpy().astype(np.int64)))
-                sets.append((r, [np.frombuffer(x, np.uint64) for x in t["own" + end].to_pylist()]))
             x, y = a["key1"].to_pylist(), b["key"].to_pylist()
-            found = [(x[p], y[q]) for p, q in linked_up(meetings(*sides), *sets)]
+            cells = [[np.frombuffer(c, np.uint8) for c in t.to_pylist()] for t in (a["cells1"], b["cells"])]
+            for i, j, _ in meetings(*sides):
+                need = least_overlap(sides[0][0][i], sides[1][0][j]).tolist()
+                likely = [overlap_bound(cells[0][p], cells[1][q]) >= m for p, q, m in zip(i.tolist(), j.tolist(), need, strict=True)]
+                i, j = i[likely], j[likely]
+                found += [(min(x[p], y[q]), max(x[p], y[q])) for p, q in zip(i.tolist(), j.tolist(), strict=True)]
         return pa.table({"a": pa.array([p for p, _ in found], pa.binary()), "b": pa.array([q for _, q in found], pa.binary())})
 
-    return materialise(left.groupBy("h1", "i1", "j1").cogroup(right.groupBy("h", "i", "j")).applyInArrow(search, "a binary, b binary"), "links", frees=(gathered,))
+    return left.groupBy("h1", "i1", "j1").cogroup(right.groupBy("h", "i", "j")).applyInArrow(search, "a binary, b binary")
 
 
 # The join
@@ -586,6 +546,11 @@ def open_members(named: DataFrame) -> DataFrame:
     return named.join(open_lists, "gram")
 
 
+def without(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs (a, b) that were not tried in either order."""
+    return pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+
+
 def links(docs: DataFrame, digests: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with key and n, and digest of their text if asked for; classes; components of the links between classes)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("xx"))
@@ -615,7 +580,7 @@ def links(docs: DataFrame, digests: bool = False) -> tuple[DataFrame, DataFrame,
 
     # Lists that still hold several components.
     left = materialise(open_members(names_of(lists, roots)), "open", frees=(lists,))
-    more = open_links(left, classes, docs)
+    more = verified(without(open_pairs(left, classes).distinct(), led), classes, docs)
     discard(left, led)
     return rows, classes, components(found.unionByName(more)) if not more.isEmpty() else roots
 
