@@ -114,20 +114,26 @@ def set_key(s: np.ndarray) -> bytes:
 
 
 def histogram(s: np.ndarray) -> bytes:
-    """Hashes counted by their leading bits, two to four cells a hash; one byte a cell."""
+    """Hashes counted by their leading bits, two to four cells a hash: how many are beyond three in their cell, then two bits a cell."""
     bits = max(4, (2 * len(s)).bit_length())
-    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+    count = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    few = np.minimum(count, 3).astype(np.uint8).reshape(-1, 4)
+    packed = few[:, 0] | few[:, 1] << 2 | few[:, 2] << 4 | few[:, 3] << 6
+    return np.array([len(s) - int(few.sum(dtype=np.int64))], "<u4").tobytes() + packed.tobytes()
 
 
-def overlap_bound(a: bytes | np.ndarray, b: bytes | np.ndarray) -> int:
+# The four cells of each byte.
+_CELLS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3).astype(np.uint8)
+
+
+def overlap_bound(a: bytes, b: bytes) -> int:
     """No two sets with these histograms share more."""
-    x, y = (v if isinstance(v, np.ndarray) else np.frombuffer(v, np.uint8) for v in (a, b))
-    if x.max() == 255 or y.max() == 255:
-        return 1 << 62
-    x, y = (x, y) if len(x) <= len(y) else (y, x)
-    if len(x) < len(y):
-        y = y.reshape(len(x), -1).sum(1, dtype=np.int64)
-    return int(np.minimum(x, y).sum(dtype=np.int64))
+    beyond = [int(np.frombuffer(v, "<u4", 1)[0]) for v in (a, b)]
+    x, y = (_CELLS[np.frombuffer(v, np.uint8, offset=4)].ravel() for v in (a, b))
+    if len(x) == len(y):
+        return int(np.minimum(x, y).sum(dtype=np.int64)) + min(beyond)
+    x, y = (x, y) if len(x) < len(y) else (y, x)
+    return int(np.minimum(x, y.reshape(len(x), -1).sum(1, dtype=np.int64)).sum(dtype=np.int64)) + sum(beyond)
 
 
 def least_overlap(n_a, n_b):
@@ -519,7 +525,7 @@ def open_pairs(named: DataFrame, classes: DataFrame, query_rows: int = 2048, can
                 g = t["grams" + end].combine_chunks()
                 sides.append((t["n" + end].to_numpy().astype(np.int64), r, g.flatten().to_numpy(), pc.list_value_length(g).to_numpy().astype(np.int64)))
             x, y = a["key1"].to_pylist(), b["key"].to_pylist()
-            cells = [[np.frombuffer(c, np.uint8) for c in t.to_pylist()] for t in (a["cells1"], b["cells"])]
+            cells = a["cells1"].to_pylist(), b["cells"].to_pylist()
             for i, j, _ in meetings(*sides):
                 need = least_overlap(sides[0][0][i], sides[1][0][j]).tolist()
                 likely = [overlap_bound(cells[0][p], cells[1][q]) >= m for p, q, m in zip(i.tolist(), j.tolist(), need, strict=True)]

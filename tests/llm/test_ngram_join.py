@@ -114,3 +114,13 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(n)] + [(b"\xf0", b"\xf1")], "a binary, b binary")
     got = {bytes(r.node): bytes(r.root) for r in J.components(edges).collect()}
     assert got == {bytes([i]): b"\x00" for i in range(1, n + 1)} | {b"\xf1": b"\xf0"}
+
+
+def test_histograms_bound_the_overlap_from_above():
+    rng = np.random.default_rng(6)
+    for n, m, shared in ((5, 4, 4), (200, 200, 160), (200, 260, 190), (3000, 3000, 0), (40, 900, 40)):
+        both, x, y = (np.unique(rng.integers(0, 2**63, k).astype(np.uint64) << np.uint64(1)) for k in (shared, n - shared, m - shared))
+        a, b = np.unique(np.concatenate([both, x])), np.unique(np.concatenate([both, y]))
+        assert shared <= J.overlap_bound(J.histogram(a), J.histogram(b)) <= shared + 0.3 * max(n - shared, m - shared) + 4
+    same = np.arange(1000, dtype=np.uint64)  # all in one cell
+    assert J.overlap_bound(J.histogram(same), J.histogram(same[:700])) >= 700
