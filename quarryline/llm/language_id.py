@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import materialise, scratch
+from quarryline.llm.common import give_back_memory, materialise, scratch
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -222,6 +222,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         df[BUCKETS] = n
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at], pa.int64())], names=["bucket", "n"])
+        give_back_memory()
 
     df, n = np.zeros(BUCKETS, np.int64), 0
     for r in docs.select("text").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
@@ -273,6 +274,7 @@ def sample_features(sample: DataFrame, idf: np.ndarray) -> list[tuple[str, int,
             rows = sparse_rows(b.column(1).to_pylist(), shared.value)
             at, x = (pa.array([r[i].astype(t).tobytes() for r in rows], pa.binary()) for i, t in ((0, "<i4"), (1, "<f8")))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), at, x], names=["lang", "k", "at", "x"])
+        give_back_memory()
 
     rows = sample.select("lang", "text", "k").mapInArrow(count, "lang string, k bigint, at binary, x binary").collect()
     rows = sorted((r["lang"], r["k"], bytes(r["at"]), bytes(r["x"])) for r in rows)
@@ -311,6 +313,7 @@ def predict(docs: DataFrame, model: Model, text_column: str = "text", lang_colum
             texts = [t or "" for t in b.column(b.schema.names.index(text_column)).to_pylist()]
             lang, score = model.predict(texts)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, *added])
+        give_back_memory()
 
     schema = docs.select(*taken).schema.add(lang_column, "string").add(score_column, "double")
     return docs.select(*taken).mapInArrow(run, schema)

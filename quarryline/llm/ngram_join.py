@@ -381,6 +381,7 @@ def bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             x, y, n_a, n_b, ca, cb = (t.column(c).to_pylist() for c in ("a", "b", "n_a", "n_b", "cells_a", "cells_b"))
             keep = [overlap_bound(p, q) >= least_overlap(i, j) for p, q, i, j in zip(ca, cb, n_a, n_b, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, keep, strict=True) if k], pa.binary()) for c in (x, y)], names=["a", "b"])
+        give_back_memory()
 
     joined = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "cells_a", "cells_b")
     return joined.mapInArrow(run, "a binary, b binary")
@@ -403,6 +404,8 @@ def class_sets(keys: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[Da
                     keys.append(key)
                     out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(out, pa.binary())], names=["key", "grams"])
+        known = None
+        give_back_memory()
 
     grams = materialise(texts.mapInArrow(sets, "key binary, grams binary"), "grams")
     # A row that repeats comes once.
