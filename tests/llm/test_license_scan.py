@@ -1,6 +1,7 @@
+import random
 import re
 
-from quarryline.llm.license_scan import BASE, license_scan
+from quarryline.llm.license_scan import BASE, LEAST_AGREEING, TEMPLATES, license_scan
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -12,6 +13,25 @@ def brute(text):
     return len(w), len(every), min(every, default=None), max(every, default=None), ",".join(sorted(k for k in at if at[k]))
 
 
+def brute_labels(text, templates=TEMPLATES):
+    """Labels and score from every start of every template."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    labels, best = {k for k, p in BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()}, 0.0
+    if labels:
+        best = 1.0
+    for label, body, phrases in templates:
+        body = body.split()
+        must = []
+        for p in (p.split() for p in phrases):
+            must.append((next(k for k in range(len(body)) if body[k : k + len(p)] == p), p))
+        for i in range(len(w)):
+            share = sum(a == b for a, b in zip(w[i : i + len(body)], body, strict=False)) / len(body)
+            if share >= LEAST_AGREEING and all(w[i + k : i + k + len(p)] == p for k, p in must):
+                labels.add(label)
+                best = max(best, share)
+    return ",".join(sorted(labels)), best
+
+
 def check(df):
     texts = {}
     for r in df.collect():
@@ -52,3 +72,31 @@ def test_labels_of_the_index(spark):
 def test_main_path_is_native(spark, documents):
     plan = license_scan(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_labels_and_score_equal_brute_force(spark, documents):
+    draw = random.Random(5)
+    every = sorted({x for _, b, _ in TEMPLATES for x in b.split()})
+    rows = []
+    for i in range(240):
+        text = draw.choices(every, k=draw.randrange(30))
+        for _, body, _ in draw.sample(TEMPLATES, draw.randrange(1, 4)):
+            body = body.split()
+            for k in draw.sample(range(len(body)), draw.randrange(len(body) // 3 + 1)):
+                body[k] = draw.choice(every)  # words that the file holds elsewhere count as well
+            text += body * draw.randrange(1, 3) + draw.choices(every, k=draw.randrange(9))
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").union(documents.select("doc_id", "text").where("doc_id > 300"))
+    texts = {r.doc_id: r.text for r in df.collect()}
+    got = license_scan(df).collect()
+    assert len(got) == len(texts)
+    assert {r.doc_id: (r.labels, r.score) for r in got} == {i: brute_labels(t) for i, t in texts.items()}
+    assert sum(bool(r.labels) for r in got) > 100
+
+
+def test_every_place_of_a_repeated_rare_word_is_tried(spark):
+    body = "zebra licence of the zebra act"
+    rows = [(1, "zebra licence of a zebra act"), (2, "zebra " * 40 + body), (3, "zebra licence")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.labels, round(r.score, 6)) for r in license_scan(df, templates=[("z", body, ["zebra act"])]).collect()}
+    assert got == {1: ("z", round(5 / 6, 6)), 2: ("z", 1.0), 3: ("", 0.0)}
