@@ -81,6 +81,11 @@ class Words(dict):
         return n
 
 
+def id_kind(vocabulary_size: int) -> str:
+    """The narrowest type that holds every id."""
+    return "<u2" if vocabulary_size <= 1 << 16 else "<u4"
+
+
 PACKED = "chunk string, doc_ids array<bigint>, train binary, n_words binary, n_distinct binary, words binary, times binary, n_ids binary, ids binary, vocabulary binary, counts binary, id_counts binary"
 _PACKED_SCHEMA = pa.schema([("chunk", pa.string()), ("doc_ids", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("train", "n_words", "n_distinct", "words", "times", "n_ids", "ids", "vocabulary", "counts", "id_counts")]])
 
@@ -120,8 +125,8 @@ def _chunk_row(name: str, known: Words, rows: list[tuple]) -> list:
     ]
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """A row a chunk of documents; columns doc_id, text and learn are read."""
+def pack_documents(docs: DataFrame, tokenizer_path: str, kind: str) -> DataFrame:
+    """A row a chunk of documents, ids as ``kind``; columns doc_id, text and learn are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -141,7 +146,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 for doc, text, learn in zip(*[s.column(c).to_pylist() for c in ("doc_id", "text", "learn")], strict=True):
                     ids, words = known.ids, list(map(known.__getitem__, (text or "").encode().lower().split()))
                     index, times = np.unique(np.array(words, np.uint32), return_counts=True)
-                    ids = np.frombuffer(b"".join([ids[w] for w in words]), "<u4").astype("<u2")
+                    ids = np.frombuffer(b"".join([ids[w] for w in words]), "<u4").astype(kind)
                     rows.append((doc, bool(learn), index, times.astype("<u4"), ids))
                     held += len(ids)
                     if held >= CHUNK_IDS:
@@ -403,6 +408,7 @@ def fit_model(docs: DataFrame, packed: DataFrame, tokenizer_path: str, learnt: i
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
     size = tokenizer.get_vocab_size()
+    kind = id_kind(size)
     ends = np.array([(tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
     encode = word_encoder(tokenizer_path)
     sample = [np.frombuffer(encode(t), "<u4").astype(np.int64) for t in sample_texts(docs, learnt)]
@@ -440,7 +446,7 @@ def fit_model(docs: DataFrame, packed: DataFrame, tokenizer_path: str, learnt: i
         seen, total = 0, np.zeros(len(flat))
         for b in batches:
             for t, n, ids in zip(*[b.column(k).to_pylist() for k in ("train", "n_ids", "ids")], strict=True):
-                parts = np.split(_expand(ids, "<u2"), np.cumsum(np.frombuffer(n, "<u4"))[:-1])
+                parts = np.split(_expand(ids, kind), np.cumsum(np.frombuffer(n, "<u4"))[:-1])
                 own = [d for d, ok in zip(parts, np.frombuffer(t, bool), strict=True) if ok]
                 if own:
                     data = training_windows(own, classes, n_classes, REFINE_SHARE)
@@ -468,10 +474,13 @@ OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_t
 
 def lm_score(docs: DataFrame, tokenizer_path: str | None = None, held_out_remainder: int = 1) -> DataFrame:
     """A row for each document: both scores in log10 and the counts they rest on.  Reads doc_id and text."""
+    from tokenizers import Tokenizer
+
     path = tokenizer_path or tokenizer_file()
+    kind = id_kind(Tokenizer.from_file(path).get_vocab_size())
     rest = remainder(F.col("doc_id"))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("learn", F.coalesce(rest != held_out_remainder, F.lit(False)))
-    packed = materialise(pack_documents(docs, path), "packed")
+    packed = materialise(pack_documents(docs, path, kind), "packed")
     sums = materialise(count_words(packed), "sums")
     distinct = total = 0
     for r in sums.where("chunk is null").select("sums").collect():
@@ -509,7 +518,7 @@ def lm_score(docs: DataFrame, tokenizer_path: str | None = None, held_out_remain
             tokens += (n_words + 1).tolist()
             knowns += [k + (trained > 0) for k in known]
             bases += [x + float(np.log10(trained + 0.5) - spread) for x in sums]
-            parts = np.split(_expand(r["ids"], "<u2"), np.cumsum(np.frombuffer(r["n_ids"], "<u4"))[:-1])
+            parts = np.split(_expand(r["ids"], kind), np.cumsum(np.frombuffer(r["n_ids"], "<u4"))[:-1])
             for first in range(0, len(parts), 256):
                 scores += (shared.value.log_probability(parts[first : first + 256]) / np.log(10)).tolist()
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(knowns, pa.int64()), "train_tokens": pa.array([n_all] * len(ids), pa.int64()), "base_score": pa.array(bases, pa.float64()), "score": pa.array(scores, pa.float64())})

@@ -142,3 +142,11 @@ def test_context_at_window_edges_and_number_of_classes():
     docs = [rng.integers(0, 300, 400) for _ in range(40)]
     classes = M.cluster_ids(docs, 300, rng.random(300) < 0.5)
     assert classes.max() + 1 == 44 + 3
+
+
+def test_ids_of_large_vocabularies_are_held_whole():
+    from quarryline.llm.lm_score import id_kind
+
+    for size in (1, 1 << 16, (1 << 16) + 1, 1 << 20):
+        assert int(np.array([size - 1]).astype(id_kind(size))[0]) == size - 1
+    assert id_kind(1 << 16) == "<u2"
