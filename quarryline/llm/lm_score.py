@@ -184,6 +184,7 @@ def count_words(packed: DataFrame) -> DataFrame:
                 at = [order[cuts[k] : cuts[k + 1]] for k in range(BUCKETS)]
                 some = [k for k in range(BUCKETS) if len(at[k])]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.string()), pa.array([hashes[at[k]].tobytes() for k in some], pa.binary()), pa.array([counts[at[k]].tobytes() for k in some], pa.binary())], names=["bucket", "chunk", "hashes", "counts"])
+        give_back_memory()
 
     def merge(t: pa.Table) -> pa.Table:
         hashes = [np.frombuffer(x, np.uint64) for x in t["hashes"].to_pylist()]
@@ -424,6 +425,7 @@ def fit_model(docs: DataFrame, packed: DataFrame, tokenizer_path: str, learnt: i
                 total[size] += int(np.frombuffer(t, bool).sum())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["id", "n"])
+        give_back_memory()
 
     counts = np.zeros(size + 1)
     for r in packed.select("id_counts", "train").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
@@ -455,6 +457,7 @@ def fit_model(docs: DataFrame, packed: DataFrame, tokenizer_path: str, learnt: i
                     seen += len(data[0])
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1), pa.int32()), pa.array(np.append(total, seen), pa.float64())], names=["at", "x"])
+        give_back_memory()
 
     sums = np.zeros(len(flat) + 1)
     for r in packed.select("train", "n_ids", "ids").mapInArrow(refine, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
@@ -521,7 +524,10 @@ def lm_score(docs: DataFrame, tokenizer_path: str | None = None, held_out_remain
             parts = np.split(_expand(r["ids"], kind), np.cumsum(np.frombuffer(r["n_ids"], "<u4"))[:-1])
             for first in range(0, len(parts), 256):
                 scores += (shared.value.log_probability(parts[first : first + 256]) / np.log(10)).tolist()
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(knowns, pa.int64()), "train_tokens": pa.array([n_all] * len(ids), pa.int64()), "base_score": pa.array(bases, pa.float64()), "score": pa.array(scores, pa.float64())})
+        out = pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(knowns, pa.int64()), "train_tokens": pa.array([n_all] * len(ids), pa.int64()), "base_score": pa.array(bases, pa.float64()), "score": pa.array(scores, pa.float64())})
+        by_bucket.clear()
+        give_back_memory()
+        return out
 
     left = packed.select("chunk", "doc_ids", "train", "n_words", "n_distinct", "words", "times", "n_ids", "ids", "vocabulary")
     return left.groupBy("chunk").cogroup(sums.where("chunk is not null").groupBy("chunk")).applyInArrow(score, OUT)
