@@ -50,7 +50,8 @@ from quarryline.llm.packing import StretchIds, piece_ids, tokenizer_file, word_e
 
 CHUNK_IDS = 2 << 20  # ids of a chunk, which is one row of a few megabytes
 CACHE_WORDS = 350_000  # words that a task keeps ids for
-BUCKETS = 48
+LEAST_BUCKETS = 48
+BUCKET_BYTES = 16 << 20  # of the chunks' vocabularies, gathered in one task by bucket of the word's hash
 WINDOW, OVERLAP = 32, 8
 DIM, CLUSTERS = 16, 44
 SAMPLE_DOCS = 400
@@ -166,23 +167,29 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, kind: str) -> DataFrame
 # Word counts
 
 
-def _bucket_order(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bucket_count(packed: DataFrame) -> int:
+    """As many buckets as keep the vocabularies of one within ``BUCKET_BYTES`` on average, whatever the input's size."""
+    held = packed.agg(F.sum(F.octet_length("vocabulary").cast("bigint"))).first()[0] or 0
+    return max(LEAST_BUCKETS, -(-held // BUCKET_BYTES))
+
+
+def _bucket_order(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """An order by bucket, and where each bucket begins in it."""
-    bucket = (hashes % np.uint64(BUCKETS)).astype(np.int64)
+    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def count_words(packed: DataFrame) -> DataFrame:
+def count_words(packed: DataFrame, buckets: int) -> DataFrame:
     """Rows (chunk, bucket, sums of the chunk's words there) and rows (null, bucket, totals)."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, v, c in zip(*[b.column(k).to_pylist() for k in ("chunk", "vocabulary", "counts")], strict=True):
                 hashes, counts = np.frombuffer(v, np.uint64), np.frombuffer(c, "<u4")
-                order, cuts = _bucket_order(hashes)
-                at = [order[cuts[k] : cuts[k + 1]] for k in range(BUCKETS)]
-                some = [k for k in range(BUCKETS) if len(at[k])]
+                order, cuts = _bucket_order(hashes, buckets)
+                at = [order[cuts[k] : cuts[k + 1]] for k in range(buckets)]
+                some = [k for k in range(buckets) if len(at[k])]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.string()), pa.array([hashes[at[k]].tobytes() for k in some], pa.binary()), pa.array([counts[at[k]].tobytes() for k in some], pa.binary())], names=["bucket", "chunk", "hashes", "counts"])
         give_back_memory()
 
@@ -484,7 +491,8 @@ def lm_score(docs: DataFrame, tokenizer_path: str | None = None, held_out_remain
     rest = remainder(F.col("doc_id"))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("learn", F.coalesce(rest != held_out_remainder, F.lit(False)))
     packed = materialise(pack_documents(docs, path, kind), "packed")
-    sums = materialise(count_words(packed), "sums")
+    buckets = bucket_count(packed)
+    sums = materialise(count_words(packed, buckets), "sums")
     distinct = total = 0
     for r in sums.where("chunk is null").select("sums").collect():
         v, n = np.frombuffer(r["sums"], "<i8").tolist()
@@ -502,9 +510,9 @@ def lm_score(docs: DataFrame, tokenizer_path: str | None = None, held_out_remain
         ids, held, tokens, knowns, bases, scores = [], [], [], [], [], []
         by_bucket = dict(zip(b["bucket"].to_pylist(), b["sums"].to_pylist(), strict=True))
         for r in a.to_pylist():
-            order, cuts = _bucket_order(np.frombuffer(r["vocabulary"], np.uint64))
+            order, cuts = _bucket_order(np.frombuffer(r["vocabulary"], np.uint64), buckets)
             count = np.zeros(len(order), np.int64)
-            for k in range(BUCKETS):
+            for k in range(buckets):
                 if cuts[k + 1] > cuts[k]:
                     count[order[cuts[k] : cuts[k + 1]]] = np.frombuffer(by_bucket[k], "<i8")
             log = np.log10(count + 0.5) - spread

@@ -150,3 +150,10 @@ def test_ids_of_large_vocabularies_are_held_whole():
     for size in (1, 1 << 16, (1 << 16) + 1, 1 << 20):
         assert int(np.array([size - 1]).astype(id_kind(size))[0]) == size - 1
     assert id_kind(1 << 16) == "<u2"
+
+
+def test_results_do_not_depend_on_the_number_of_buckets(documents, monkeypatch):
+    want = sorted(map(tuple, M.lm_score(documents).select("doc_id", "n_known", "train_tokens", "base_score").collect()))
+    monkeypatch.setattr(M, "BUCKET_BYTES", 1000)
+    got = sorted(map(tuple, M.lm_score(documents).select("doc_id", "n_known", "train_tokens", "base_score").collect()))
+    assert [r[:3] for r in got] == [r[:3] for r in want] and all(abs(a[3] - b[3]) < 1e-9 * abs(b[3]) for a, b in zip(got, want, strict=True))
