@@ -2,22 +2,27 @@
 
 The score is the log10 probability of a text under a causal self-attention model
 in numpy.  Its tokens are the subword ids of a public tokenizer and an end.  Each
-id belongs to one of a few dozen classes; the model predicts the class of the
-next token from the classes before it, by attention over a window, and the id
-within its class by frequency:
+id belongs to one of a few dozen classes, and to a unit: frequent ids are units
+of their own, the other ids of a class share one.  The model predicts the class of
+the next token by attention over the embedded units of a window, the unit within
+its class given the unit before, and the id within its unit given the class before:
 
-    P(text) = product over tokens of P(class | window) * P(id | class)
+    P(text) = product over tokens of P(class | window) * P(unit | class, unit before) * P(id | unit, class before)
 
 Windows overlap: each starts where its last ``OVERLAP`` positions repeat those
 of the one before, which only serve as context, so every token is scored once
 with a context of at least that many tokens (or from the text's beginning).
 Windows of many texts are scored in one batch of masked attention.
 
-What is learnt: class frequencies and P(id | class) are counted over all
-training documents.  The classes and first weights come from the
-``SAMPLE_DOCS`` training documents with the smallest hash of their id.  Then
-every task refines the weights on ``REFINE_SHARE`` of the windows of its own
-training documents, and the results are averaged by number of windows.
+What is learnt, all of it from all training documents: id frequencies, which name
+the frequent ids; the neighbours of every id, by which ids are clustered to classes;
+the counts behind the two inner factors, smoothed towards those with less context;
+and the weights of the attention.  These start from ``STEPS`` steps on the
+``SAMPLE_DOCS`` training documents with the smallest hash of their id.  Then each of
+``ROUNDS`` rounds takes its share of the training documents, each document in one
+round: every task goes on from the round's weights with a step for each
+``BATCH_WINDOWS`` of its windows, and the results are averaged by number of windows.
+The tables of counts are bounded by the vocabulary's size, not by the input.
 
 Beside it, the base score is that of a smoothed unigram model of words.  Word
 counts are exact over all training documents and never gathered in one place:
@@ -30,7 +35,7 @@ Words are compared by 64-bit hashes.
 Defined results: null and empty texts have one token, the end; a document with a
 null id is neither held out nor learnt from; repeated rows are scored alike, and
 each counts if it is learnt from; without training documents, N is 0, the base
-score is 0 and the model is uniform over classes and ids; an empty table gives
+score is 0 and the model is uniform over classes, and over the ids of each; an empty table gives
 no rows; other columns are not read.
 """
 
@@ -54,11 +59,15 @@ LEAST_BUCKETS = 48
 BUCKET_BYTES = 16 << 20  # of the chunks' vocabularies, gathered in one task by bucket of the word's hash
 WINDOW, OVERLAP = 32, 8
 DIM, CLUSTERS = 16, 44
+HEAD = 512  # most frequent ids, units of their own
+NEIGHBOURS = 32  # most frequent ids, told apart as neighbours when ids are clustered
 SAMPLE_DOCS = 400
 STEPS, BATCH_WINDOWS = 300, 256
-REFINE_SHARE = 1 / 64
+ROUNDS, RATES = 2, (0.004, 0.001)
+SLICE_IDS = 1 << 17  # whose windows are shuffled together in a round
 SCORE_WINDOWS = 1024
 SMOOTHING = 0.1
+TOWARDS = {"unit by class": 20.0, "unit by unit": 8.0, "id by class": 30.0}  # counts that the factor with less context is worth
 
 
 # Packing documents: word indices, subword ids, vocabularies
@@ -211,12 +220,54 @@ def count_words(packed: DataFrame, buckets: int) -> DataFrame:
 # The attention model
 
 
+@dataclass
+class Inner:
+    """The factors within a class: the unit of each id, the class of each unit (the last is a beginning), and
+    log P(unit | class, unit before) and log P(id | unit, class before) by what comes before."""
+
+    units: np.ndarray
+    class_of: np.ndarray
+    pairs: np.ndarray
+    tails: np.ndarray
+
+    def log_probability(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return self.pairs[before, self.units[ids]] + self.tails[self.class_of[before], ids]
+
+
+def fit_inner(classes: np.ndarray, units: np.ndarray, n_units: int, pairs: np.ndarray, tails: np.ndarray, counts: np.ndarray) -> Inner:
+    """From how often units follow units (or a beginning), ids follow classes, and ids occur."""
+    n_classes = int(classes.max()) + 1
+    class_of = np.full(n_units + 1, n_classes)
+    class_of[units] = classes
+    of = class_of[:-1]
+
+    def by(group, m, n):
+        return np.stack([np.bincount(group, row, n) for row in m])
+
+    def towards(m, group, n, less, worth):
+        return (m + worth * less) / (by(group, m, n)[:, group] + worth)
+
+    counts = counts + SMOOTHING
+    in_unit = counts / np.bincount(units, counts, n_units)[units]
+    per_unit = np.bincount(units, counts, n_units)
+    # A unit without ids (and a class of none) has no share; it never is a target.
+    base = per_unit / np.maximum(np.bincount(of, per_unit, n_classes + 1), 1e-300)[of]
+    by_class = np.zeros((n_classes + 1, n_units))
+    np.add.at(by_class, class_of, pairs)
+    less = towards(by_class, of, n_classes + 1, base, TOWARDS["unit by class"])
+    full = towards(pairs, of, n_classes + 1, less[class_of], TOWARDS["unit by unit"])
+    ids = np.empty(tails.shape, np.float32)
+    for k, row in enumerate(tails):
+        ids[k] = np.log((row + TOWARDS["id by class"] * in_unit) / (np.bincount(units, row, n_units)[units] + TOWARDS["id by class"]))
+    return Inner(units, class_of, np.log(np.maximum(full, 1e-300)).astype(np.float32), ids)
+
+
 @dataclass
 class AttentionModel:
-    """Class of each id (the last is the end), log P(id | class), and the weights."""
+    """Class of each id (the last is the end), log P(id | class) or the factors with context, and the weights."""
 
     classes: np.ndarray
-    inner: np.ndarray
+    inner: np.ndarray | Inner
     weights: dict[str, np.ndarray]
 
     @property
@@ -230,10 +281,12 @@ class AttentionModel:
         targets = np.concatenate([x for d in documents for x in (d, [end])]).astype(np.int64)
         starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
         classes = self.classes[targets]
-        # What is read before each target: the class before it, or a beginning.
-        before = np.concatenate([[0], classes[:-1]])
-        before[starts] = self.n_classes
-        score = self.inner[targets].astype(np.float64)
+        # What is read before each target: the unit before it, or a beginning.
+        context = isinstance(self.inner, Inner)
+        read = self.inner.units[targets] if context else classes
+        before = np.concatenate([[0], read[:-1]])
+        before[starts] = len(self.weights["e"]) - 1
+        score = (self.inner.log_probability(before, targets) if context else self.inner[targets]).astype(np.float64)
         first, own, rows = windows(starts, lengths)
         for a in range(0, len(first), SCORE_WINDOWS):
             at = first[a : a + SCORE_WINDOWS, None] + np.arange(WINDOW)
@@ -245,13 +298,13 @@ class AttentionModel:
         return np.add.reduceat(score, starts)
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Query, key, value and input of each class, side by side, and the same of each place."""
+        """Query, key, value and input of each unit, side by side, and the same of each place."""
         w = self.weights
         sides = (w["wq"] * np.float32(1 / np.sqrt(DIM)), w["wk"], w["wv"], np.eye(DIM, dtype=np.float32))
         return tuple(np.ascontiguousarray(np.concatenate([w[k] @ m for m in sides], 1), np.float32) for k in ("e", "p"))
 
     def window_scores(self, classes: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """log P(target class) at every place of windows of classes read."""
+        """log P(target class) at every place of windows of units read."""
         if not hasattr(self, "_table"):
             self._table = self.table()
         x = self._table[0][classes]
@@ -284,108 +337,154 @@ def _exp(x: np.ndarray, counts: np.ndarray | bool = True) -> np.ndarray:
 
 
 CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+HIDDEN = (CAUSAL - 1) * np.float32(1e9)
 
 
-def windows(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(starts: np.ndarray, lengths: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each window: first place, places that only serve as context, places within its text."""
-    stride = WINDOW - OVERLAP
+    stride = WINDOW - overlap
     n = 1 + np.maximum(0, -(-(lengths - WINDOW) // stride))
     doc = np.repeat(np.arange(len(lengths)), n)
     k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    return starts[doc] + k * stride, np.where(k > 0, OVERLAP, 0), np.minimum(WINDOW, lengths[doc] - k * stride)
+    return starts[doc] + k * stride, np.where(k > 0, overlap, 0), np.minimum(WINDOW, lengths[doc] - k * stride)
 
 
-def initial_weights(n_classes: int, seed: int = 11) -> dict[str, np.ndarray]:
+def initial_weights(n_classes: int, n_units: int | None = None, seed: int = 11) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     draw = lambda *s, by: rng.normal(0, by, s).astype(np.float32)
-    return {"e": draw(n_classes + 1, DIM, by=0.3), "p": draw(WINDOW, DIM, by=0.1), "wq": draw(DIM, DIM, by=0.25), "wk": draw(DIM, DIM, by=0.25), "wv": draw(DIM, DIM, by=0.25), "u": draw(DIM, n_classes, by=0.1), "b": np.zeros(n_classes, np.float32)}
+    read = n_classes if n_units is None else n_units
+    return {"e": draw(read + 1, DIM, by=0.3), "p": draw(WINDOW, DIM, by=0.1), "wq": draw(DIM, DIM, by=0.25), "wk": draw(DIM, DIM, by=0.25), "wv": draw(DIM, DIM, by=0.25), "u": draw(DIM, n_classes, by=0.1), "b": np.zeros(n_classes, np.float32)}
 
 
-def gradients(w: dict[str, np.ndarray], classes: np.ndarray, targets: np.ndarray, live: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over the live places of windows, and its gradients."""
+def gradients(w: dict[str, np.ndarray], read: np.ndarray, targets: np.ndarray, live: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss over the live places of windows of units read, and its gradients."""
     scale = np.float32(1 / np.sqrt(DIM))
-    n = max(1, int(live.sum()))
-    x = w["e"][classes] + w["p"]
-    q, k, v = x @ (w["wq"] * scale), x @ w["wk"], x @ w["wv"]
-    s = np.matmul(q, k.transpose(0, 2, 1))
-    s = np.where(CAUSAL > 0, s, -1e9)
-    a = np.exp(s - s.max(2, keepdims=True))
+    counted, n = live.ravel(), max(1, int(live.sum()))
+    wide = np.concatenate([w["wq"] * scale, w["wk"], w["wv"]], 1)
+    x = (w["e"][read] + w["p"]).reshape(-1, DIM)
+    q, k, v = np.split((x @ wide).reshape(*read.shape, 3 * DIM), 3, 2)
+    a = np.matmul(q, k.transpose(0, 2, 1))
+    a += HIDDEN
+    a -= a.max(2, keepdims=True)
+    np.exp(a, out=a)
     a /= a.sum(2, keepdims=True)
-    h = x + np.matmul(a, v)
-    z = h @ w["u"] + w["b"]
-    z -= z.max(2, keepdims=True)
-    p = np.exp(z)
-    p /= p.sum(2, keepdims=True)
-    at = np.take_along_axis(p, targets[..., None], 2)[..., 0]
-    loss = float(-(np.log(np.maximum(at, 1e-12)) * live).sum() / n)
-    np.put_along_axis(p, targets[..., None], (at - 1)[..., None], 2)
-    dz = p * (live[..., None] / np.float32(n))
-    dh = dz @ w["u"].T
-    dv = np.matmul(a.transpose(0, 2, 1), dh)
-    da = np.matmul(dh, v.transpose(0, 2, 1))
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-    flat = lambda m: m.reshape(-1, m.shape[-1])
-    dx = dh + dq @ (w["wq"] * scale).T + dk @ w["wk"].T + dv @ w["wv"].T
-    one_hot = np.zeros((classes.size, len(w["e"])), np.float32)
-    one_hot[np.arange(classes.size), classes.ravel()] = 1
-    g = {"e": one_hot.T @ flat(dx), "p": dx.sum(0), "wq": flat(x).T @ flat(dq) * scale, "wk": flat(x).T @ flat(dk), "wv": flat(x).T @ flat(dv), "u": flat(h).T @ flat(dz), "b": flat(dz).sum(0)}
+    h = x + np.matmul(a, v).reshape(-1, DIM)
+    p = h @ w["u"]
+    p += w["b"]
+    p -= p.max(1, keepdims=True)
+    np.exp(p, out=p)
+    p /= p.sum(1, keepdims=True)
+    here = np.arange(len(p)), targets.ravel()
+    loss = float(-(np.log(np.maximum(p[here], 1e-12)) * counted).sum() / n)
+    p[here] -= 1
+    p *= (counted / np.float32(n))[:, None]
+    dh = p @ w["u"].T
+    mixed = dh.reshape(*read.shape, DIM)
+    d = np.empty((*read.shape, 3 * DIM), x.dtype)
+    np.matmul(a.transpose(0, 2, 1), mixed, out=d[..., 2 * DIM :])
+    ds = np.matmul(mixed, v.transpose(0, 2, 1))
+    ds *= a
+    a *= ds.sum(2, keepdims=True)
+    ds -= a
+    np.matmul(ds, k, out=d[..., :DIM])
+    np.matmul(ds.transpose(0, 2, 1), q, out=d[..., DIM : 2 * DIM])
+    d = d.reshape(-1, 3 * DIM)
+    dx = dh + d @ wide.T
+    dw = x.T @ d
+    at = read.ravel()
+    e = np.stack([np.bincount(at, c, len(w["e"])) for c in np.ascontiguousarray(dx.T)], 1)
+    g = {"e": e, "p": dx.reshape(*read.shape, DIM).sum(0), "wq": dw[:, :DIM] * scale, "wk": dw[:, DIM : 2 * DIM], "wv": dw[:, 2 * DIM :], "u": h.T @ p, "b": p.sum(0)}
     return loss, g
 
 
-def train(w: dict[str, np.ndarray], classes: np.ndarray, targets: np.ndarray, live: np.ndarray, steps: int, rate: float, seed: int = 5) -> dict[str, np.ndarray]:
+class Adam:
+    """Weights and the moments of their gradients."""
+
+    def __init__(self, w: dict[str, np.ndarray]) -> None:
+        self.w, self.t = {k: x.copy() for k, x in w.items()}, 0
+        self.m, self.s = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+
+    def step(self, read: np.ndarray, targets: np.ndarray, live: np.ndarray, rate: float) -> None:
+        self.t += 1
+        _, g = gradients(self.w, read, targets, live)
+        for k, m in self.m.items():
+            m += 0.1 * (g[k] - m)
+            self.s[k] += 0.01 * (g[k] ** 2 - self.s[k])
+            self.w[k] -= (rate * (m / (1 - 0.9**self.t)) / (np.sqrt(self.s[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+
+
+def train(w: dict[str, np.ndarray], read: np.ndarray, targets: np.ndarray, live: np.ndarray, steps: int, rate: float, seed: int = 5) -> dict[str, np.ndarray]:
     """Adam on random batches of windows, with a rate that falls to zero."""
-    w = {k: x.copy() for k, x in w.items()}
-    m, s = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-    rng = np.random.default_rng(seed)
+    adam, rng = Adam(w), np.random.default_rng(seed)
     for t in range(1, steps + 1):
-        at = rng.integers(0, len(classes), min(BATCH_WINDOWS, len(classes)))
-        _, g = gradients(w, classes[at], targets[at], live[at])
-        for k in w:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
-            w[k] -= (rate * (1 - t / (steps + 1)) * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-    return w
-
-
-def training_windows(documents: list[np.ndarray], classes: np.ndarray, n_classes: int, share: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows (classes read, target classes, places that count) of some documents; a fixed share of them, spread evenly."""
-    end = len(classes) - 1
+        at = rng.integers(0, len(read), min(BATCH_WINDOWS, len(read)))
+        adam.step(read[at], targets[at], live[at], rate * (1 - t / (steps + 1)))
+    return adam.w
+
+
+def pass_over(adam: Adam, documents: list[np.ndarray], classes: np.ndarray, units: np.ndarray, rate: float, seed: int = 7) -> int:
+    """A step for every batch of windows of these documents, each place in one window; the number of windows."""
+    rng, done = np.random.default_rng(seed), 0
+    cuts = np.searchsorted(np.cumsum([len(d) + 1 for d in documents]), np.arange(SLICE_IDS, sum(map(len, documents)) + len(documents), SLICE_IDS))
+    for a, b in zip([0, *cuts], [*cuts, len(documents)], strict=True):
+        if a < b:
+            read, targets, live = training_windows(documents[a:b], classes, len(adam.w["e"]) - 1, units, 0)
+            for at in np.array_split(rng.permutation(len(read)), -(-len(read) // BATCH_WINDOWS)):
+                adam.step(read[at], targets[at], live[at], rate)
+            done += len(read)
+    return done
+
+
+def with_end(documents: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids, each document's followed by the end; where documents start, and their lengths."""
     lengths = np.array([len(d) + 1 for d in documents])
-    target = classes[np.concatenate([x for d in documents for x in (d, [end])]).astype(np.int64)]
-    starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-    before = np.concatenate([[0], target[:-1]])
-    before[starts] = n_classes
-    first, own, rows = windows(starts, lengths)
-    step = round(1 / share)
-    first, own, rows = first[::step], own[::step], rows[::step]
+    ids = np.concatenate([x for d in documents for x in (d, [end])]).astype(np.int64)
+    return ids, np.concatenate([[0], np.cumsum(lengths)])[:-1], lengths
+
+
+def training_windows(documents: list[np.ndarray], classes: np.ndarray, beginning: int, units: np.ndarray | None = None, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows (units read, target classes, places that count) of some documents; without units, classes are read."""
+    ids, starts, lengths = with_end(documents, len(classes) - 1)
+    target = classes[ids]
+    before = np.concatenate([[0], (target if units is None else units[ids])[:-1]])
+    before[starts] = beginning
+    first, own, rows = windows(starts, lengths, overlap)
     at = np.minimum(first[:, None] + np.arange(WINDOW), len(before) - 1)
     place = np.arange(WINDOW)
     return before[at], target[at], ((place < rows[:, None]) & (place >= own[:, None])).astype(np.float32)
 
 
+def neighbour_counts(documents: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
+    """How often each id (the last is the end) comes after and before the most frequent ones, and after and before any other."""
+    n, width = len(counts), NEIGHBOURS + 1
+    top = np.argsort(-counts, kind="stable")[:NEIGHBOURS]
+    place = np.full(n, NEIGHBOURS)
+    place[top] = np.arange(len(top))
+    ids, _, _ = with_end(documents, n - 1)
+    a, b = ids[:-1], ids[1:]
+    out = np.bincount(b * (2 * width) + place[a], minlength=2 * n * width)
+    out += np.bincount(a * (2 * width) + width + place[b], minlength=2 * n * width)
+    return out.reshape(n, 2 * width)
+
+
 def cluster_ids(documents: list[np.ndarray], vocabulary_size: int, ends_word: np.ndarray, clusters: int = CLUSTERS, seed: int = 3) -> np.ndarray:
-    """A class for each id by its neighbours in a sample; rare ids by whether they end a word; the end has its own."""
+    """``cluster_counted`` of the ids in some documents."""
+    counts = np.bincount(np.concatenate([*documents, np.zeros(0, np.int64)]).astype(np.int64), minlength=vocabulary_size + 1)
+    counts[-1] = len(documents)
+    return cluster_counted(counts, neighbour_counts(documents, counts), ends_word, clusters, seed)
+
+
+def cluster_counted(counts: np.ndarray, neighbours: np.ndarray, ends_word: np.ndarray, clusters: int = CLUSTERS, seed: int = 3) -> np.ndarray:
+    """A class for each id by its neighbours; ids with fewer than five places by whether they end a word; the end has its own."""
     classes = np.where(ends_word, clusters, clusters + 1).astype(np.int64)
     classes = np.append(classes, clusters + 2)
-    every = np.concatenate([*documents, np.zeros(0, np.int64)]).astype(np.int64)
-    count = np.bincount(every, minlength=vocabulary_size)
+    count = counts[:-1]
     chosen = np.flatnonzero(count >= 5)
     if len(chosen) <= clusters:
         classes[chosen] = np.arange(len(chosen))
         return classes
-    top = np.argsort(-count, kind="stable")[:128]
-    place = np.full(vocabulary_size, 128)
-    place[top] = np.arange(128)
-    row = np.full(vocabulary_size, -1)
-    row[chosen] = np.arange(len(chosen))
-    table = np.zeros((len(chosen), 2 * 129 + 1))
-    a, b = every[:-1], every[1:]
-    for i, j, shift in ((row[b], place[a], 0), (row[a], place[b], 129)):
-        fit = i >= 0
-        np.add.at(table, (i[fit], j[fit] + shift), 1)
-    table = np.sqrt(table / np.maximum(table.sum(1, keepdims=True), 1))
-    table[:, -1] = ends_word[chosen] * 0.7
+    table = neighbours[chosen].astype(np.float64)
+    table = np.append(np.sqrt(table / np.maximum(table.sum(1, keepdims=True), 1)), ends_word[chosen, None] * 0.7, 1)
     weight = np.sqrt(count[chosen])
     rng = np.random.default_rng(seed)
     centre = table[rng.choice(len(chosen), clusters, replace=False, p=weight / weight.sum())]
@@ -399,6 +498,15 @@ def cluster_ids(documents: list[np.ndarray], vocabulary_size: int, ends_word: np
     return classes
 
 
+def units_of(classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The unit of each id: frequent ids have their own, the others one for each class; and how many there are."""
+    head = np.argsort(-counts, kind="stable")[:HEAD]
+    head = head[counts[head] > 0]
+    units = classes + len(head)
+    units[head] = np.arange(len(head))
+    return units, len(head) + int(classes.max()) + 1
+
+
 def sample_texts(docs: DataFrame, learnt: int, rows: int = SAMPLE_DOCS) -> list[str]:
     """Texts of the training documents with the smallest hashes of their ids.
 
@@ -410,18 +518,37 @@ def sample_texts(docs: DataFrame, learnt: int, rows: int = SAMPLE_DOCS) -> list[
     return [r["text"] or "" for r in chosen.select("text").collect()]
 
 
+def _learnt_from(b: pa.RecordBatch, kind: str) -> Iterator[list[np.ndarray]]:
+    """The ids of the training documents of each chunk; reads train, n_ids and ids."""
+    for t, n, ids in zip(*[b.column(k).to_pylist() for k in ("train", "n_ids", "ids")], strict=True):
+        parts = np.split(_expand(ids, kind), np.cumsum(np.frombuffer(n, "<u4"))[:-1])
+        if own := [d for d, ok in zip(parts, np.frombuffer(t, bool), strict=True) if ok]:
+            yield own
+
+
+def _summed(rows: DataFrame, size: int) -> np.ndarray:
+    """Sums of x by place; as many as the vocabulary and the model's tables have places, whatever the input."""
+    t = rows.groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+    out = np.zeros(size)
+    out[t["at"].to_numpy()] = t["x"].to_numpy()
+    return out
+
+
+def _sparse(total: np.ndarray, first: int = 0) -> pa.RecordBatch:
+    at = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(at + first, pa.int32()), pa.array(total[at].astype(np.float64))], names=["at", "x"])
+
+
 def fit_model(docs: DataFrame, packed: DataFrame, tokenizer_path: str, learnt: int) -> AttentionModel:
-    """Classes and first weights from a sample, counts and refined weights from all (so many) training documents."""
+    """First weights from a sample; counts, classes and the rounds from all (so many) training documents."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
     size = tokenizer.get_vocab_size()
     kind = id_kind(size)
     ends = np.array([(tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-    encode = word_encoder(tokenizer_path)
-    sample = [np.frombuffer(encode(t), "<u4").astype(np.int64) for t in sample_texts(docs, learnt)]
-    classes = cluster_ids(sample, size, ends)
-    n_classes = int(classes.max()) + 1
+    share = docs.sparkSession.sparkContext.broadcast
+    chunks = packed.select("train", "n_ids", "ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size + 1, np.int64)
@@ -430,50 +557,80 @@ def fit_model(docs: DataFrame, packed: DataFrame, tokenizer_path: str, learnt: i
                 ids, times = np.frombuffer(c, "<u4").reshape(2, -1)
                 total[ids] += times
                 total[size] += int(np.frombuffer(t, bool).sum())
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["id", "n"])
+        yield _sparse(total)
+        give_back_memory()
+
+    counts = _summed(packed.select("id_counts", "train").mapInArrow(count, "at int, x double"), size + 1)
+    seen_often = share(counts)
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for b in batches:
+            for own in _learnt_from(b, kind):
+                total = total + neighbour_counts(own, seen_often.value)
+        yield _sparse(np.ravel(total))
+        total = None
         give_back_memory()
 
-    counts = np.zeros(size + 1)
-    for r in packed.select("id_counts", "train").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        counts[r["id"]] = r["n"]
-    counts += SMOOTHING
-    by_class = np.bincount(classes, counts, n_classes)
-    inner = np.log(counts / by_class[classes]).astype(np.float32)
-    w = initial_weights(n_classes)
+    width = 2 * (NEIGHBOURS + 1)
+    near = _summed(chunks.mapInArrow(neighbours, "at int, x double"), (size + 1) * width).reshape(-1, width)
+    classes = cluster_counted(counts, near, ends)
+    del near
+    n_classes = int(classes.max()) + 1
+    units, n_units = units_of(classes, counts)
+    w = initial_weights(n_classes, n_units)
+    by_class = np.bincount(classes, counts + SMOOTHING, n_classes)
     w["b"] = np.log(np.maximum(by_class, SMOOTHING) / by_class.sum()).astype(np.float32)
-    if not sample:
+    n_pairs, n_tails = (n_units + 1) * n_units, (n_classes + 1) * (size + 1)
+    sums = np.zeros(n_pairs + n_tails)
+    if not learnt:
         w = {k: x * 0 for k, x in w.items()}
-        return AttentionModel(classes, inner, w)
-    w = train(w, *training_windows(sample, classes, n_classes), STEPS, 0.02)
-    shared = docs.sparkSession.sparkContext.broadcast((w, classes, n_classes))
+    else:
+        encode = word_encoder(tokenizer_path)
+        sample = [np.frombuffer(encode(t), "<u4").astype(np.int64) for t in sample_texts(docs, learnt)]
+        w = train(w, *training_windows(sample, classes, n_units, units), STEPS, 0.02)
+        for r in range(ROUNDS):
+            w, counted = _round(chunks, kind, w, classes, units, n_units, r, sums.size)
+            sums += counted
+    pairs, tails = sums[:n_pairs].reshape(-1, n_units), sums[n_pairs:].reshape(-1, size + 1)
+    return AttentionModel(classes, fit_inner(classes, units, n_units, pairs, tails, counts), w)
+
+
+def _round(chunks: DataFrame, kind: str, w: dict[str, np.ndarray], classes: np.ndarray, units: np.ndarray, n_units: int, r: int, n_counts: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Weights after a round, and what its documents add to the counts of the inner factors."""
+    n_classes, n_ids = int(classes.max()) + 1, len(classes)
     names = list(w)
-    flat = np.concatenate([w[k].ravel() for k in names])
+    sizes = [w[k].size for k in names]
+    shared = chunks.sparkSession.sparkContext.broadcast((w, classes, units))
 
-    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, classes, n_classes = shared.value
-        seen, total = 0, np.zeros(len(flat))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, classes, units = shared.value
+        adam, done, total = Adam(w), 0, np.zeros(n_counts, np.int64)
+        n_pairs = (n_units + 1) * n_units
         for b in batches:
-            for t, n, ids in zip(*[b.column(k).to_pylist() for k in ("train", "n_ids", "ids")], strict=True):
-                parts = np.split(_expand(ids, kind), np.cumsum(np.frombuffer(n, "<u4"))[:-1])
-                own = [d for d, ok in zip(parts, np.frombuffer(t, bool), strict=True) if ok]
-                if own:
-                    data = training_windows(own, classes, n_classes, REFINE_SHARE)
-                    better = train(w, *data, max(1, len(data[0]) // BATCH_WINDOWS), 0.004)
-                    total += np.concatenate([better[k].ravel() for k in names]) * len(data[0])
-                    seen += len(data[0])
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1), pa.int32()), pa.array(np.append(total, seen), pa.float64())], names=["at", "x"])
+            for own in _learnt_from(b, kind):
+                if own := own[r::ROUNDS]:
+                    done += pass_over(adam, own, classes, units, RATES[r])
+                    ids, starts, _ = with_end(own, n_ids - 1)
+                    before = np.concatenate([[0], units[ids][:-1]])
+                    before[starts] = n_units
+                    total[:n_pairs] += np.bincount(before * n_units + units[ids], minlength=n_pairs)
+                    before = np.concatenate([[0], classes[ids][:-1]])
+                    before[starts] = n_classes
+                    # An id that is a unit of its own is certain given the unit.
+                    shares = units[ids] >= n_units - n_classes
+                    total[n_pairs:] += np.bincount(before[shares] * n_ids + ids[shares], minlength=n_counts - n_pairs)
+        if done:
+            yield _sparse(total)
+            yield _sparse(np.append(np.concatenate([adam.w[k].ravel() for k in names]).astype(np.float64) * done, done), n_counts)
+        total = adam = None
         give_back_memory()
 
-    sums = np.zeros(len(flat) + 1)
-    for r in packed.select("train", "n_ids", "ids").mapInArrow(refine, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
-        sums[r["at"]] = r["x"]
+    sums = _summed(chunks.mapInArrow(run, "at int, x double"), n_counts + sum(sizes) + 1)
     if sums[-1]:
-        mean = (sums[:-1] / sums[-1]).astype(np.float32)
-        cuts = np.cumsum([w[k].size for k in names])[:-1]
-        w = {k: part.reshape(w[k].shape) for k, part in zip(names, np.split(mean, cuts), strict=True)}
-    return AttentionModel(classes, inner, w)
+        mean = (sums[n_counts:-1] / sums[-1]).astype(np.float32)
+        w = {k: part.reshape(w[k].shape) for k, part in zip(names, np.split(mean, np.cumsum(sizes)[:-1]), strict=True)}
+    return w, sums[:n_counts]
 
 
 # Scoring

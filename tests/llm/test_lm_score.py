@@ -144,6 +144,105 @@ def test_context_at_window_edges_and_number_of_classes():
     assert classes.max() + 1 == 44 + 3
 
 
+def context_model(docs, size=60):
+    rng = np.random.default_rng(4)
+    counts = np.bincount(np.concatenate([*docs, np.full(len(docs), size)]), minlength=size + 1)
+    classes = M.cluster_counted(counts, M.neighbour_counts(docs, counts), rng.random(size) < 0.5, 6)
+    units, n_units = M.units_of(classes, counts)
+    n_classes = int(classes.max()) + 1
+    pairs, tails = np.zeros((n_units + 1, n_units)), np.zeros((n_classes + 1, size + 1))
+    for d in docs:
+        unit, before = n_units, n_classes
+        for i in [*d, size]:
+            pairs[unit, units[i]] += 1
+            tails[before, i] += 1
+            unit, before = units[i], classes[i]
+    w = {k: (x + rng.normal(0, 0.3, x.shape)).astype(np.float32) for k, x in M.initial_weights(n_classes, n_units).items()}
+    return M.AttentionModel(classes, M.fit_inner(classes, units, n_units, pairs, tails, counts), w)
+
+
+@pytest.mark.parametrize("head", [0, 9, 500])
+def test_factors_within_a_class_sum_to_one(head, monkeypatch):
+    monkeypatch.setattr(M, "HEAD", head)
+    rng = np.random.default_rng(6)
+    m = context_model([rng.zipf(1.4, 300) % 50 for _ in range(20)])
+    every = np.arange(len(m.classes))
+    for before in range(len(m.inner.class_of)):
+        p = np.bincount(m.classes, np.exp(m.inner.log_probability(np.full(len(every), before), every)), m.n_classes)
+        assert np.allclose(p[np.unique(m.classes)], 1, atol=1e-4)
+
+
+def test_scores_with_context_equal_a_plain_version(monkeypatch):
+    monkeypatch.setattr(M, "HEAD", 9)
+    rng = np.random.default_rng(7)
+    m = context_model([rng.zipf(1.4, 300) % 50 for _ in range(20)])
+    w, stride = {k: x.astype(float) for k, x in m.weights.items()}, M.WINDOW - M.OVERLAP
+
+    def plain(ids):
+        s = np.append(ids, len(m.classes) - 1)
+        read = [len(w["e"]) - 1, *m.inner.units[s[:-1]]]
+        total = 0.0
+        for t in range(len(s)):
+            first = stride * (0 if t < M.WINDOW else -(-(t - M.WINDOW + 1) // stride))
+            x = w["e"][read[first : t + 1]] + w["p"][: t + 1 - first]
+            a = np.exp((x @ w["wk"]) @ (x[-1] @ w["wq"]) / math.sqrt(M.DIM))
+            z = (x[-1] + a @ (x @ w["wv"]) / a.sum()) @ w["u"] + w["b"]
+            total += z[m.classes[s[t]]] - np.log(np.exp(z).sum()) + m.inner.pairs[read[t], m.inner.units[s[t]]] + m.inner.tails[m.inner.class_of[read[t]], s[t]]
+        return total
+
+    docs = [rng.integers(0, 50, n) for n in (0, 1, 31, 32, 33, 56, 57, 300)]
+    assert np.allclose(m.log_probability(docs), [plain(d) for d in docs], rtol=1e-4)
+
+
+def test_a_pass_reads_every_place_once_and_steps_grow_with_the_input(monkeypatch):
+    monkeypatch.setattr(M, "SLICE_IDS", 500)
+    rng = np.random.default_rng(9)
+    docs = [rng.integers(0, 5, n) for n in (0, 1, 31, 32, 33, 3000, 700, 5)] * 9
+    classes, steps, places = np.array([0, 1, 2, 3, 4, 5]), [], []
+
+    class Counted(M.Adam):
+        def step(self, read, targets, live, rate):
+            steps.append(len(read))
+            places.append(int(live.sum()))
+
+    for some in (docs, docs * 3):
+        steps.clear(), places.clear()
+        done = M.pass_over(Counted(M.initial_weights(6)), some, classes, classes, 0.01)
+        assert sum(places) == sum(len(d) + 1 for d in some) and sum(steps) == done
+        assert len(steps) >= done / M.BATCH_WINDOWS
+
+
+def test_neighbours_are_counted(monkeypatch):
+    monkeypatch.setattr(M, "NEIGHBOURS", 2)
+    docs = [np.array([0, 1, 0, 1, 0]), np.array([2])]
+    counts = np.array([3, 2, 1, 2])
+    got = M.neighbour_counts(docs, counts)
+    # 0 1 0 1 0 end 2 end; the frequent ones are 0 and 1.
+    assert got.tolist() == [[0, 2, 0, 0, 2, 1], [2, 0, 0, 2, 0, 0], [0, 0, 1, 0, 0, 1], [1, 0, 1, 0, 0, 1]]
+
+
+def test_held_out_documents_are_less_surprising_than_under_a_bigram(documents):
+    """Bits a subword id, against a bigram interpolated with its unigram; the best of several weights for it."""
+    from quarryline.llm.packing import tokenizer_file, word_encoder
+
+    encode = word_encoder(tokenizer_file())
+    rows = [(r.doc_id, [*np.frombuffer(encode((r.text or "").translate(LOWER)), "<u4").tolist(), -1]) for r in documents.collect()]
+    pairs, ones, befores = Counter(), Counter(), Counter()
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 1}
+    for i, s in rows:
+        if i not in held:
+            pairs.update(zip([-1, *s], s, strict=False))
+            ones.update(s)
+            befores.update([-1, *s[:-1]])
+    n, v = sum(ones.values()), len(ones) + 1
+
+    def bigram(k):
+        return sum(math.log10((pairs[a, b] + k * (ones[b] + 0.1) / (n + 0.1 * v)) / (befores[a] + k)) for i, s in rows if i in held for a, b in zip([-1, *s], s, strict=False))
+
+    got = sum(r.score for r in M.lm_score(documents.repartition(5)).where("held_out").collect())
+    assert got > max(map(bigram, (1, 4, 16, 64, 256)))
+
+
 def test_ids_of_large_vocabularies_are_held_whole():
     from quarryline.llm.lm_score import id_kind
 
