@@ -9,10 +9,12 @@ and Spark's FP-growth finds the token combinations that occur together.  A
 combination becomes a rule for a label if enough of its URLs have the label
 (confidence) and enough URLs hold it (support); a rule that a shorter one
 with the same label and no lower confidence covers is pruned.  Mining reads all
-labelled URLs.  A combination needs a fixed share of them, but FP-growth lists every
-part of a frequent combination: k tokens that this share of the URLs have in common give
-2^k of them, so the support has to stay above the share of templates with many tokens.
-Rules come to the driver before they are pruned, and the index of those left is broadcast.
+labelled URLs.  Tokens that occur in the same URLs, as those of one template do, are
+mined as one, since a rule with two of them says no more than the rule with either; each
+found rule is then stated for every choice among them, which gives the rules that mining
+them apart would leave after pruning.  A combination needs a fixed share of the URLs, but
+FP-growth lists every part of a frequent combination: k tokens that often, though not
+always, come together still give 2^k of them.  Frequent tokens and rules come to the driver before rules are pruned, and the index of those left is broadcast.
 
 A URL is matched by inverted index: each rule is listed under its rarest token,
 so a URL looks up its own tokens only.  Among the rules that hold, the one
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,11 +96,29 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     """(tokens, verdict, confidence, support), pruned; from columns tokens and verdict."""
     from pyspark.ml.fpm import FPGrowth
 
-    items = labelled.select(F.array_append("tokens", F.concat(F.lit(LABEL), "verdict")).alias("items"))
+    same = inseparable(labelled, min_support)
+    others = [t for group in same.values() for t in group[1:]]
+    tokens = F.array_except("tokens", F.array(*map(F.lit, others))) if others else F.col("tokens")
+    items = labelled.select(F.array_append(tokens, F.concat(F.lit(LABEL), "verdict")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     found = model.associationRules.where(F.element_at("consequent", 1).startswith(LABEL)).where(~F.exists("antecedent", lambda x: x.startswith(LABEL)))
     rules = [(tuple(sorted(r["antecedent"])), r["consequent"][0].removeprefix(LABEL), r["confidence"], r["support"]) for r in found.select("antecedent", "consequent", "confidence", "support").collect()]
-    return prune_rules(rules)
+    return prune_rules([(tuple(sorted(c)), *r[1:]) for r in rules for c in product(*(same.get(t, [t]) for t in r[0]))])
+
+
+def inseparable(labelled: DataFrame, min_support: float) -> dict[str, list[str]]:
+    """Frequent tokens that occur in the same rows, by the first of them; only groups of several.
+
+    Rows are the same if their number and the sums of two 64-bit hashes of their tokens agree.
+    At most (mean number of tokens / support) tokens are frequent, so few come to the driver.
+    """
+    rows = labelled.agg(F.count("*")).first()[0]
+    token = labelled.select(F.explode("tokens").alias("token"), *[F.xxhash64("tokens", F.lit(k)).cast("decimal(20,0)").alias(f"h{k}") for k in (0, 1)])
+    seen = token.groupBy("token").agg(F.count("*").alias("n"), F.sum("h0").alias("h0"), F.sum("h1").alias("h1")).where(F.col("n") >= min_support * rows)
+    groups: dict[tuple, list[str]] = {}
+    for r in sorted(seen.collect()):
+        groups.setdefault((r["n"], r["h0"], r["h1"]), []).append(r["token"])
+    return {g[0]: g for g in groups.values() if len(g) > 1}
 
 
 def prune_rules(rules):

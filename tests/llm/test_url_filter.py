@@ -1,3 +1,5 @@
+import random
+
 from quarryline.llm.url_filter import RULES, RuleIndex, mine_rules, prune_rules, url_filter
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -58,3 +60,33 @@ def test_pruning_and_index():
     assert (("a", "b"), "block", 0.9, 0.2) not in kept and len(kept) == 3
     index = RuleIndex(kept)
     assert index.verdict(["a", "b"]) == "allow" and index.verdict(["a"]) == "block" and index.verdict(["c"]) is None and index.verdict(["d", "c"]) == "block"
+
+
+def test_tokens_mined_as_one_give_the_rules_of_mining_them_apart(spark):
+    from itertools import combinations
+
+    rng = random.Random(3)
+    rows = []
+    for _ in range(300):
+        t = set(rng.sample("abcdef", rng.randint(0, 4)))
+        t |= {"g", "h"} if "a" in t else set()
+        t |= {"i"} if "b" in t else set()
+        rows.append((sorted(t), "block" if "b" in t and rng.random() < 0.9 else "allow"))
+    rules = []
+    every = sorted({t for ts, _ in rows for t in ts})
+    for k in range(1, len(every) + 1):
+        for c in combinations(every, k):
+            holds = [v for ts, v in rows if set(c) <= set(ts)]
+            for v in ("allow", "block"):
+                if holds and holds.count(v) >= 0.02 * len(rows) and holds.count(v) / len(holds) >= 0.6:
+                    rules.append((c, v, holds.count(v) / len(holds), holds.count(v) / len(rows)))
+    got = mine_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.02, 0.6)
+    want = prune_rules(rules)
+    assert [r[:2] for r in got] == [r[:2] for r in want] and any("g" in r[0] for r in got)
+    assert all(abs(a[2] - b[2]) < 1e-9 and abs(a[3] - b[3]) < 1e-9 for a, b in zip(got, want, strict=True))
+
+
+def test_a_template_of_many_tokens_is_mined(spark):
+    rows = [([f"t{k}" for k in range(60)], "block")] * 20 + [(["x"], "allow")] * 80
+    got = mine_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.01, 0.8)
+    assert sorted(r[0] for r in got) == sorted([("x",), *[(f"t{k}",) for k in range(60)]])
