@@ -70,6 +70,8 @@ BUCKET_BYTES = 24 << 20
 FLUSH_HASHES = 4 << 20
 CACHE_WORDS = 300_000
 GROUP_ROWS = 512
+BITS, MOST_BITS = 16, 27  # of the filter of wanted rows: for each row; the power of two that is the most (16 MB)
+LIST_ROWS = 1 << 17
 
 
 # Sets
@@ -387,28 +389,65 @@ def bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a binary, b binary")
 
 
+def _bits(rows: np.ndarray, size: int) -> np.ndarray:
+    """The bits that stand for each row's hash in a filter of so many bits (a power of two): four rows of them."""
+    a, b = _mixed(rows), _mixed(rows + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return np.stack([a + np.uint64(i) * b for i in range(4)]) & np.uint64(size - 1)
+
+
+def bloom(wanted: DataFrame, size: int) -> np.ndarray:
+    """A Bloom filter of the hashes in column row: words of 64 bits, gathered on executors, at most one row a word."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(_bits(b.column(0).to_numpy().view(np.uint64), size))
+            word, first = np.unique(at >> np.uint64(6), return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    found = wanted.select("row").mapInArrow(words, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(size >> 6, np.uint64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return table
+
+
+def in_bloom(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the filter; all that are in it."""
+    at = _bits(rows, len(table) << 6)
+    return (table[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).all(0)
+
+
 def class_sets(keys: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, grams) of the classes named, computed again from the text that stands for each; and the written table behind it."""
+    """(key, grams) of the classes named, computed again from the text that stands for each; and the written table behind it.
+
+    Texts are read where they lie and none is shuffled: a Bloom filter of the wanted rows, by id and
+    hash of the text, says which are computed.  The few others that it lets through add sets of other classes, or
+    a set once more.
+    """
     wanted = keys.select("key").distinct().join(classes.select("key", "rep", "rep_xx"), "key")
-    # Ids may be missing or repeat, so the text's hash is a key as well.
-    wanted = wanted.select(F.col("rep").alias("_rep"), F.col("rep_xx").alias("_xx"), F.col("key").alias("_key"))
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("_rep")) & (docs["xx"] == F.col("_xx"))).select("text", "_key")
+    # Ids may be missing or repeat, so the text's hash is a part.
+    wanted = materialise(wanted.select(F.xxhash64("rep", "rep_xx").alias("row")), "wanted")
+    size = 1 << min(MOST_BITS, max(16, (BITS * wanted.count()).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(wanted, size))
+    discard(wanted)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, done = WordHashes(), set()
         for b in batches:
+            b = b.filter(pa.array(in_bloom(shared.value, b.column(1).to_numpy().view(np.uint64))))
             keys, out = [], []
-            for (_, text), key in zip(texts_of(b, 0), b.column(1).to_pylist(), strict=True):
+            for _, text in texts_of(b, 0):
                 s = shingle_set(text, known)
-                if len(s) and set_key(s) == key:
+                if len(s) and (key := set_key(s)) not in done:
+                    done.add(key)
                     keys.append(key)
                     out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(out, pa.binary())], names=["key", "grams"])
-        known = None
+        known = done = None
         give_back_memory()
 
-    grams = materialise(texts.mapInArrow(sets, "key binary, grams binary"), "grams")
-    # A row that repeats comes once.
+    grams = materialise(docs.select("text", F.xxhash64("doc_id", "xx").alias("row")).mapInArrow(sets, "key binary, grams binary"), "grams")
+    # A row that repeats, in several tasks, comes once.
     return grams.groupBy("key").agg(F.first("grams").alias("grams")), grams
 
 
@@ -542,17 +581,79 @@ def open_pairs(named: DataFrame, classes: DataFrame, query_rows: int = 2048, can
 # The join
 
 
-def names_of(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """(gram, key, n, root) of every member of every list."""
+def classes_of(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, n, root, grams): a row for each class in a list, with the n-grams of its lists."""
     sides = [lists.select("gram", F.col(k).alias("key"), F.col(f"{k}_n").alias("n")) for k in ("leader", "member")]
-    named = sides[0].unionByName(sides[1]).distinct().join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
-    return named.withColumn("root", F.coalesce("root", "key"))
+    held = sides[0].unionByName(sides[1]).groupBy("key").agg(F.first("n").alias("n"), F.collect_set("gram").alias("grams"))
+    return held.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "n", F.coalesce("root", "key").alias("root"), "grams")
+
+
+def has_partner(lists: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which members have another member in their list that they could link with, given how many n-grams they may share at most.
+
+    Rows are sorted by list and size.  Classes of sizes s <= l that link meet, in the index, at least
+    ceil(3 (s + l) / 7) - ceil(3 l / 4) + 1 times (see ``meetings``).  So 28 times the n-grams that either may share
+    is at least 12 s - 9 l + 7, which leaves a span of sizes above a class and one below.
+    """
+    step = int(n.max(initial=0)) * 2 + 2
+    code = np.cumsum(np.append(False, lists[1:] != lists[:-1])) * step if len(lists) else lists
+    at = code + n
+    found = np.zeros(len(lists), bool)
+    above = np.maximum(n, -(-(12 * n + 7 - 28 * most) // 9)), 4 * n // 3
+    below = -(-3 * n // 4), np.minimum(n, (28 * most - 7 + 9 * n) // 12)
+    for low, high in (above, below):
+        there = np.searchsorted(at, code + np.maximum(high, 0), "right") - np.searchsorted(at, code + low)
+        found |= there - ((low <= n) & (n <= high)) > 0
+    return found
+
+
+def open_members(held: DataFrame) -> DataFrame:
+    """(gram, key, n, root, head) of the members of lists that hold several components, but for members that can
+    link with none of their list by the sizes and by how many n-grams of lists each has.
+
+    Most lists are n-grams that unrelated documents share by chance, and go.  Two classes of different
+    components that can link are both left in every list that both are in.
+    """
+    rows = held.select(F.explode("grams").alias("gram"), "key", "n", F.size("grams").alias("most"), "root").repartition("gram").sortWithinPartitions("gram", "n")
+    schema = pa.schema([("gram", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("root", pa.binary()), ("head", pa.binary())])
+
+    def judged(t: pa.Table) -> list[pa.RecordBatch]:
+        gram = t["gram"].to_numpy()
+        t = t.filter(pa.array(has_partner(gram, t["n"].to_numpy().astype(np.int64), t["most"].to_numpy().astype(np.int64))))
+        gram = t["gram"].to_numpy()
+        starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
+        lengths = np.diff(np.append(starts, len(gram)))
+        root = t["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+        several = np.repeat(np.maximum.reduceat(root, starts) > np.minimum.reduceat(root, starts), lengths) if len(gram) else np.zeros(0, bool)
+        # The smallest key of each list.
+        order = pc.rank(t["key"], tiebreaker="dense").to_numpy()
+        least = np.repeat(np.minimum.reduceat(order, starts), lengths) if len(gram) else order
+        place = np.zeros(len(gram) + 1, np.int64)
+        place[order] = np.arange(len(gram))
+        t = t.append_column("head", t["key"].take(pa.array(place[least]))).filter(pa.array(several))
+        return t.select(schema.names).cast(schema).combine_chunks().to_batches()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size, enough = [], 0, LIST_ROWS
+        for b in batches:
+            waiting.append(b)
+            size += b.num_rows
+            if size < enough:
+                continue
+            t = pa.Table.from_batches(waiting).combine_chunks()
+            # The last list may go on.
+            gram = t["gram"].to_numpy()
+            whole = int(np.searchsorted(gram, gram[-1]))
+            if whole:
+                yield from judged(t.slice(0, whole))
+            waiting, size = t.slice(whole).to_batches(), t.num_rows - whole
+            enough = max(LIST_ROWS, 2 * size)
+        if size:
+            yield from judged(pa.Table.from_batches(waiting).combine_chunks())
+        waiting = None
+        give_back_memory()
 
-def open_members(named: DataFrame) -> DataFrame:
-    """(gram, key, n, root, head) of the members of lists that hold several components."""
-    open_lists = named.groupBy("gram").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.min("key").alias("head")).where("_low < _high").select("gram", "head")
-    return named.join(open_lists, "gram")
+    return rows.mapInArrow(run, "gram bigint, key binary, n int, root binary, head binary")
 
 
 def without(pairs: DataFrame, tried: DataFrame) -> DataFrame:
@@ -588,7 +689,10 @@ def links(docs: DataFrame, digests: bool = False) -> tuple[DataFrame, DataFrame,
     roots = components(found)
 
     # Lists that still hold several components.
-    left = materialise(open_members(names_of(lists, roots)), "open", frees=(lists,))
+    left = materialise(open_members(classes_of(lists, roots)), "open", frees=(lists,))
+    # What went leaves classes with fewer n-grams, of which more can link with none.
+    again = left.groupBy("key").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.collect_list("gram").alias("grams"))
+    left = materialise(open_members(again), "open", frees=(left,))
     more = verified(without(open_pairs(left, classes).distinct(), led), classes, docs)
     discard(left, led)
     return rows, classes, components(found.unionByName(more)) if not more.isEmpty() else roots

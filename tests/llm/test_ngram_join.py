@@ -124,3 +124,61 @@ def test_histograms_bound_the_overlap_from_above():
         assert shared <= J.overlap_bound(J.histogram(a), J.histogram(b)) <= shared + 0.3 * max(n - shared, m - shared) + 4
     same = np.arange(1000, dtype=np.uint64)  # all in one cell
     assert J.overlap_bound(J.histogram(same), J.histogram(same[:700])) >= 700
+
+
+def written(monkeypatch):
+    """Every table that is written from now on: (name, plan, rows)."""
+    seen, write = [], J.materialise
+
+    def noted(df, name, *a, **b):
+        out = write(df, name, *a, **b)
+        seen.append((name, df._jdf.queryExecution().executedPlan().toString(), out.count()))
+        return out
+
+    monkeypatch.setattr(J, "materialise", noted)
+    return seen
+
+
+def test_lists_shared_by_chance_are_not_gathered(spark, monkeypatch):
+    """Documents that share a run of words, of which there are too few for any pair to link, take no part in the search of open lists."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    texts = [" ".join([*fresh(60), *(f"p{k // 2}_{i}" for i in range(20)), *fresh(60 + k % 3)]) for k in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    seen = written(monkeypatch)
+    check(df)
+    assert {rows for name, _, rows in seen if name == "open"} == {0}
+
+
+def test_texts_are_not_shuffled_for_their_sets(documents, monkeypatch):
+    seen = written(monkeypatch)
+    J.ngram_join(documents).collect()
+    plans = [plan for name, plan, _ in seen if name == "grams"]
+    assert len(plans) >= 2 and not any("Exchange" in p for p in plans)
+
+
+def test_members_that_could_link_have_a_partner():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        k = rng.integers(1, 30)
+        lists, n, most = np.sort(rng.integers(0, 6, k)), rng.integers(1, rng.choice([6, 40, 900]), k), rng.integers(1, 60, k)
+        order = np.lexsort((n, lists))
+        lists, n, most = lists[order], n[order], most[order]
+        got = J.has_partner(lists, n, most)
+        for i in range(k):
+            for j in range(k):
+                larger, smaller = max(n[i], n[j]), min(n[i], n[j])
+                least = J.least_overlap(n[i], n[j]) - -(-3 * larger // 4) + 1
+                if i != j and lists[i] == lists[j] and 4 * smaller >= 3 * larger and least <= min(most[i], most[j]):
+                    assert got[i] and got[j]
+    # One n-gram in common is too few at equal sizes, enough where the smaller has three quarters.
+    assert J.has_partner(np.array([1, 1, 2, 2]), np.array([100, 100, 75, 100]), np.ones(4, int)).tolist() == [False, False, True, True]
+
+
+def test_bloom_filter_holds_all_it_was_given(spark):
+    rng = np.random.default_rng(1)
+    rows = rng.integers(-(2**63), 2**63 - 1, 3000)
+    table = J.bloom(spark.createDataFrame([(int(x),) for x in rows], "row bigint"), 1 << 16)
+    assert J.in_bloom(table, rows.view(np.uint64)).all()
+    assert J.in_bloom(table, rng.integers(0, 2**63, 20000).astype(np.uint64)).mean() < 0.02
+    assert not J.in_bloom(np.zeros(8, np.uint64), rows.view(np.uint64)).any()
