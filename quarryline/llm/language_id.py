@@ -40,6 +40,7 @@ BUCKETS = 1 << BUCKET_BITS
 ROWS_PER_LANGUAGE = 1000
 EPOCHS = 3
 CHUNK_CHARS = 1 << 20
+SLICE_ROWS = 256
 UNKNOWN = "und"
 
 
@@ -115,6 +116,13 @@ def chunks(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[tuple[int, lis
         yield first, texts[first:]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, few at a time: the texts of a whole batch would be held twice."""
+    for b in batches:
+        for first in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(first, SLICE_ROWS)
+
+
 # The model
 
 
@@ -209,7 +217,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(BUCKETS + 1, np.int64), 0
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(0).to_pylist()]
             n += len(texts)
             for _, part in chunks(texts):
@@ -270,7 +278,7 @@ def sample_features(sample: DataFrame, idf: np.ndarray) -> list[tuple[str, int,
     shared = sample.sparkSession.sparkContext.broadcast(idf)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = sparse_rows(b.column(1).to_pylist(), shared.value)
             at, x = (pa.array([r[i].astype(t).tobytes() for r in rows], pa.binary()) for i, t in ((0, "<i4"), (1, "<f8")))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), at, x], names=["lang", "k", "at", "x"])
@@ -309,7 +317,7 @@ def predict(docs: DataFrame, model: Model, text_column: str = "text", lang_colum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column(b.schema.names.index(text_column)).to_pylist()]
             lang, score = model.predict(texts)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, *added])

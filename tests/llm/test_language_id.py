@@ -117,3 +117,16 @@ def test_a_language_of_repeated_rows_is_learnt(spark):
     rows = [(1, "der die das und nicht ist", "de")] * 300 + [(i + 2, f"the and of is not {i}", "en") for i in range(60)]
     model = L.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), rows_per_language=40)
     assert model.languages == ["de", "en"]
+
+
+def test_few_texts_of_a_batch_are_held_at_a_time(spark):
+    class Counted:
+        """As a model of executors, gives each text the number of texts it came with."""
+
+        def __reduce__(self):
+            return eval, ("type('Counted', (), {'predict': lambda self, t: (['en'] * len(t), [float(len(t))] * len(t))})()",)
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(1500)], "doc_id long, text string").coalesce(1)
+    rows = L.predict(docs, Counted()).collect()
+    assert [r.doc_id for r in rows] == list(range(1500)) and {r.text for r in rows} == {f"text {i}" for i in range(1500)}
+    assert max(r.score for r in rows) <= 256
