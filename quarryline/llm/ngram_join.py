@@ -250,7 +250,7 @@ def _merged(grams: np.ndarray, members: np.ndarray, keys: np.ndarray, sizes: np.
 
 
 def index_blocks(docs: DataFrame, long_grams: np.ndarray, long_times: np.ndarray, buckets: int) -> DataFrame:
-    """Rows of two kinds: a task's postings for one bucket; a list's members that the task merged itself."""
+    """Rows of two kinds: a task's postings for one bucket; a list's members that the task merged itself, in buckets below 0."""
     shared = docs.sparkSession.sparkContext.broadcast((long_grams, long_times))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +263,7 @@ def index_blocks(docs: DataFrame, long_grams: np.ndarray, long_times: np.ndarray
             grams, members, rows = _merged(grams, members, keys, ns, few)
             n = len(rows[0])
             if n:
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary()) for _ in range(5)], *rows], schema=_BLOCK_SCHEMA)
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(n) % buckets, pa.int32()), *[pa.nulls(n, pa.binary()) for _ in range(5)], *rows], schema=_BLOCK_SCHEMA)
             bucket = (grams % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -298,9 +298,11 @@ def index_blocks(docs: DataFrame, long_grams: np.ndarray, long_times: np.ndarray
 
 
 def merge_buckets(blocks: DataFrame) -> DataFrame:
-    """Rows of LISTS for the members of lists that several tasks share."""
+    """Rows of LISTS: those that tasks merged themselves, and those of lists that several tasks share."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table["bucket"][0].as_py() < 0:
+            return table.select(_LIST_SCHEMA.names).cast(_LIST_SCHEMA)
         grams, members, keys, sizes, shorts, base = [], [], [], [], [], 0
         for g, m, k, n, f in zip(*[table[c].to_pylist() for c in ("grams", "members", "keys", "sizes", "shorts")], strict=True):
             grams.append(np.frombuffer(g, np.uint64))
@@ -678,10 +680,8 @@ def links(docs: DataFrame, digests: bool = False) -> tuple[DataFrame, DataFrame,
     order = np.argsort(long_grams)
     buckets = max(1, math.ceil(total / 4 * 14 / BUCKET_BYTES))
 
-    index = materialise(index_blocks(docs, long_grams[order], long_times[order], buckets), "index", frees=(sums,))
-    own = index.where("gram is not null").select("gram", "leader", "leader_n", "member", "member_n")
-    lists = own.unionByName(merge_buckets(index.where("bucket is not null").select("bucket", "grams", "members", "keys", "sizes", "shorts")))
-    lists = materialise(lists, "lists", frees=(index,))
+    # The postings, most of what is written, lie on disk once: as the shuffle by bucket.
+    lists = materialise(merge_buckets(index_blocks(docs, long_grams[order], long_times[order], buckets)), "lists", frees=(sums,))
 
     fits = (F.least("leader_n", "member_n") * 4) >= (F.greatest("leader_n", "member_n") * 3)
     led = materialise(lists.where(fits).select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct(), "led")

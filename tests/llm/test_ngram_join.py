@@ -151,8 +151,10 @@ def test_lists_shared_by_chance_are_not_gathered(spark, monkeypatch):
 
 
 def test_texts_are_not_shuffled_for_their_sets(documents, monkeypatch):
+    """And postings are not written beside the shuffle that deals them out."""
     seen = written(monkeypatch)
     J.ngram_join(documents).collect()
+    assert "index" not in [name for name, _, _ in seen]
     plans = [plan for name, plan, _ in seen if name == "grams"]
     assert len(plans) >= 2 and not any("Exchange" in p for p in plans)
 
