@@ -263,7 +263,7 @@ def index_blocks(docs: DataFrame, long_grams: np.ndarray, long_times: np.ndarray
             grams, members, rows = _merged(grams, members, keys, ns, few)
             n = len(rows[0])
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(n) % buckets, pa.int32()), *[pa.nulls(n, pa.binary()) for _ in range(5)], *rows], schema=_BLOCK_SCHEMA)
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(n) % (16 * buckets), pa.int32()), *[pa.nulls(n, pa.binary()) for _ in range(5)], *rows], schema=_BLOCK_SCHEMA)
             bucket = (grams % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
