@@ -43,6 +43,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +52,11 @@ from pyspark.sql import functions as F
 
 from quarryline.llm.common import give_back_memory, materialise
 from quarryline.llm.language_id import remainder
+from quarryline.llm.merges import ids_of_words, merges_of
 from quarryline.llm.packing import StretchIds, piece_ids, tokenizer_file, word_encoder
 
 CHUNK_IDS = 2 << 20  # ids of a chunk, which is one row of a few megabytes
+STRETCH_BYTES = 1 << 19  # of texts that are packed at once
 CACHE_WORDS = 350_000  # words that a task keeps ids for
 LEAST_BUCKETS = 48
 BUCKET_BYTES = 16 << 20  # of the chunks' vocabularies, gathered in one task by bucket of the word's hash
@@ -65,7 +68,7 @@ SAMPLE_DOCS = 400
 STEPS, BATCH_WINDOWS = 300, 256
 ROUNDS, RATES = 2, (0.004, 0.001)
 SLICE_IDS = 1 << 17  # whose windows are shuffled together in a round
-SCORE_WINDOWS = 1024
+SCORE_WINDOWS = 128  # as many as stay in a core's cache
 SMOOTHING = 0.1
 TOWARDS = {"unit by class": 20.0, "unit by unit": 8.0, "id by class": 30.0}  # counts that the factor with less context is worth
 
@@ -74,22 +77,38 @@ TOWARDS = {"unit by class": 20.0, "unit by unit": 8.0, "id by class": 30.0}  # c
 
 
 class Words(dict):
-    """Numbers of lower-case words, with the subword ids and the hash of each.
+    """Numbers of lower-case words, with the subword ids and the hash of each once ``learn`` has run.
 
     The tokenizer splits at white space, so a text's ids are those of its words.
     """
 
-    def __init__(self, stretches: StretchIds) -> None:
-        self.stretches, self.ids, self.hashes = stretches, [], []
+    def __init__(self, path: str, kind: str) -> None:
+        self.path, self.new = path, []
+        self.ids, self.lengths, self.hashes = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        n = self[word] = len(self.ids)
-        self.ids.append(self.stretches.ids(word.decode()))
-        self.hashes.append(xxhash.xxh64_intdigest(word))
+        n = self[word] = len(self)
+        self.new.append(word)
         return n
 
+    def learn(self) -> None:
+        """Takes the words met since the last time, whose numbers are already given."""
+        from xxhash import xxh64_intdigest
+
+        if not self.new:
+            return
+        ids, lengths = ids_of_words(self.new, StretchIds(piece_ids(self.path)), merges_of(self.path), self.ids.dtype.str)
+        self.ids, self.lengths = np.append(self.ids, ids), np.append(self.lengths, lengths)
+        self.hashes = np.append(self.hashes, np.fromiter(map(xxh64_intdigest, self.new), np.uint64, len(self.new)))
+        self.new = []
+
+    def ids_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words one after the other, and how many each has."""
+        lengths = self.lengths[words]
+        ends = np.cumsum(lengths)
+        shift = (np.cumsum(self.lengths) - self.lengths)[words] - (ends - lengths)
+        return self.ids[np.repeat(shift, lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths
+
 
 def id_kind(vocabulary_size: int) -> str:
     """The narrowest type that holds every id."""
@@ -112,29 +131,74 @@ def _expand(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
-def _chunk_row(name: str, known: Words, rows: list[tuple]) -> list:
-    """The values of PACKED, from rows (doc_id, learnt from, words, times, ids)."""
-    train = np.array([r[1] for r in rows], bool)
-    counts, seen = np.zeros(len(known.ids), np.int64), np.zeros(len(known.ids), bool)
-    for r in rows:
-        seen[r[2]] = True
-        if r[1]:
-            counts[r[2]] += r[3]
+@dataclass
+class Stretch:
+    """Some documents of a chunk: word numbers, distinct and ascending in each, how often each occurs there, and ids."""
+
+    doc_ids: list
+    train: np.ndarray
+    n_words: np.ndarray
+    n_distinct: np.ndarray
+    words: np.ndarray
+    times: np.ndarray
+    n_ids: np.ndarray
+    ids: np.ndarray
+
+
+def _pack_stretch(known: Words, doc_ids: list, texts: list[bytes], train: list[bool]) -> Stretch:
+    split = [t.lower().split() for t in texts]
+    n_words = np.fromiter(map(len, split), np.int64, len(split))
+    words = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, n_words.sum())
+    known.learn()
+    doc = np.repeat(np.arange(len(texts)), n_words)
+    ids, lengths = known.ids_of(words)
+    pairs = np.sort(doc << 32 | words)
+    first = np.flatnonzero(np.diff(pairs, prepend=-1))
+    times = np.diff(first, append=len(pairs))
+    pairs = pairs[first]
+    n_ids = np.bincount(doc, lengths, len(texts))
+    return Stretch(doc_ids, np.array(train, bool), n_words.astype("<u4"), np.bincount(pairs >> 32, minlength=len(texts)).astype("<u4"), pairs & 0xFFFFFFFF, times.astype("<u4"), n_ids.astype("<u4"), ids)
+
+
+def _chunk_row(name: str, known: Words, stretches: list[Stretch]) -> list:
+    """The values of PACKED."""
+    train, n_words, n, words, times, n_ids, ids = (np.concatenate([getattr(s, c) for s in stretches]) for c in ("train", "n_words", "n_distinct", "words", "times", "n_ids", "ids"))
+    learnt = np.repeat(train, n)
+    counts = np.bincount(words[learnt], times[learnt], len(known)).astype("<u4")
+    seen = np.zeros(len(known), bool)
+    seen[words] = True
     # Words of this chunk, renumbered without gaps; the order stays.
     used = np.flatnonzero(seen)
-    number = np.cumsum(seen) - 1
-    n = np.array([len(r[2]) for r in rows], "<u4")
-    steps = np.concatenate([np.diff(number[r[2]], prepend=0).astype("<u4") for r in rows])
-    ids = np.concatenate([r[4] for r in rows])
-    n_ids = np.array([len(r[4]) for r in rows], "<u4")
+    number = (np.cumsum(seen) - 1)[words]
+    steps = np.diff(number, prepend=0)
+    starts = (np.cumsum(n, dtype=np.int64) - n)[n > 0]
+    steps[starts] = number[starts]
     id_counts = np.bincount(ids[np.repeat(train, n_ids)], minlength=1)
     own = np.flatnonzero(id_counts)
     return [
-        name, [r[0] for r in rows], train.tobytes(), np.array([r[3].sum() for r in rows], "<u4").tobytes(), n.tobytes(), _squeeze(steps), _squeeze(np.concatenate([r[3] for r in rows])),
-        n_ids.tobytes(), _squeeze(ids), np.array(known.hashes, np.uint64)[used].tobytes(), counts[used].astype("<u4").tobytes(), np.stack([own, id_counts[own]]).astype("<u4").tobytes(),
+        name, [d for s in stretches for d in s.doc_ids], train.tobytes(), n_words.tobytes(), n.tobytes(), _squeeze(steps.astype("<u4")), _squeeze(times),
+        n_ids.tobytes(), _squeeze(ids), known.hashes[used].tobytes(), counts[used].tobytes(), np.stack([own, id_counts[own]]).astype("<u4").tobytes(),
     ]
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes], list[bool]]]:
+    """Documents in lists of ``STRETCH_BYTES`` of text, or little more than their last document beyond it."""
+    docs, texts, train, held = [], [], [], 0
+    for b in batches:
+        for first in range(0, b.num_rows, 256):
+            s = b.slice(first, 256)
+            for doc, text, learn in zip(*[s.column(c).to_pylist() for c in ("doc_id", "text", "learn")], strict=True):
+                texts.append((text or "").encode())
+                docs.append(doc)
+                train.append(bool(learn))
+                held += len(texts[-1])
+                if held >= STRETCH_BYTES:
+                    yield docs, texts, train
+                    docs, texts, train, held = [], [], [], 0
+    if docs:
+        yield docs, texts, train
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, kind: str) -> DataFrame:
     """A row a chunk of documents, ids as ``kind``; columns doc_id, text and learn are read."""
 
@@ -142,7 +206,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, kind: str) -> DataFrame
         from pyspark import TaskContext
 
         part, made = TaskContext.get().partitionId(), 0
-        known, rows, held = Words(StretchIds(piece_ids(tokenizer_path))), [], 0
+        known, rows, held = Words(tokenizer_path, kind), [], 0
 
         def flush():
             nonlocal rows, held, made
@@ -150,24 +214,18 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, kind: str) -> DataFrame
             rows, held, made = [], 0, made + 1
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(out, _PACKED_SCHEMA, strict=True)], schema=_PACKED_SCHEMA)
 
-        for b in batches:
-            for first in range(0, b.num_rows, 256):
-                s = b.slice(first, 256)
-                for doc, text, learn in zip(*[s.column(c).to_pylist() for c in ("doc_id", "text", "learn")], strict=True):
-                    ids, words = known.ids, list(map(known.__getitem__, (text or "").encode().lower().split()))
-                    index, times = np.unique(np.array(words, np.uint32), return_counts=True)
-                    ids = np.frombuffer(b"".join([ids[w] for w in words]), "<u4").astype(kind)
-                    rows.append((doc, bool(learn), index, times.astype("<u4"), ids))
-                    held += len(ids)
-                    if held >= CHUNK_IDS:
-                        yield flush()
-                    if len(known) >= CACHE_WORDS:
-                        if rows:
-                            yield flush()
-                        known = Words(StretchIds(piece_ids(tokenizer_path)))
+        for some in _stretches(batches):
+            rows.append(_pack_stretch(known, *some))
+            held += len(rows[-1].ids)
+            if held >= CHUNK_IDS:
+                yield flush()
+            if len(known) >= CACHE_WORDS:
+                if rows:
+                    yield flush()
+                known = Words(tokenizer_path, kind)
         if rows:
             yield flush()
-        known = None
+        known = some = None
         give_back_memory()
 
     return docs.select("doc_id", "text", "learn").mapInArrow(run, PACKED)
@@ -288,56 +346,72 @@ class AttentionModel:
         before[starts] = len(self.weights["e"]) - 1
         score = (self.inner.log_probability(before, targets) if context else self.inner[targets]).astype(np.float64)
         first, own, rows = windows(starts, lengths)
-        for a in range(0, len(first), SCORE_WINDOWS):
-            at = first[a : a + SCORE_WINDOWS, None] + np.arange(WINDOW)
-            live = np.arange(WINDOW) < rows[a : a + SCORE_WINDOWS, None]
-            at = np.minimum(at, len(before) - 1)
-            got = self.window_scores(before[at], classes[at])
-            scored = live & (np.arange(WINDOW) >= own[a : a + SCORE_WINDOWS, None])
-            score[at[scored]] += got[scored]
+        # Windows alike in their context go together: places that only serve as context are read, but not scored.
+        for context in np.unique(own).tolist():
+            alike = np.flatnonzero(own == context)
+            for a in range(0, len(alike), SCORE_WINDOWS):
+                some = alike[a : a + SCORE_WINDOWS]
+                at = np.minimum(first[some, None] + np.arange(WINDOW), len(before) - 1)
+                scored = at[:, context:]
+                live = np.arange(context, WINDOW) < rows[some, None]
+                score[scored[live]] += self.window_scores(before[at], classes[scored], context)[live]
         return np.add.reduceat(score, starts)
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Query, key, value and input of each unit, side by side, and the same of each place."""
+        """The query of each unit and of each place, on which keys are the embedded units themselves."""
         w = self.weights
-        sides = (w["wq"] * np.float32(1 / np.sqrt(DIM)), w["wk"], w["wv"], np.eye(DIM, dtype=np.float32))
-        return tuple(np.ascontiguousarray(np.concatenate([w[k] @ m for m in sides], 1), np.float32) for k in ("e", "p"))
+        form = w["wq"] @ w["wk"].T * np.float32(1 / np.sqrt(DIM))
+        return w["e"] @ form, w["p"] @ form
 
-    def window_scores(self, classes: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """log P(target class) at every place of windows of units read."""
+    def window_scores(self, read: np.ndarray, targets: np.ndarray, own: int = 0) -> np.ndarray:
+        """log P(target class) at the places from ``own`` on of windows of units read."""
         if not hasattr(self, "_table"):
             self._table = self.table()
-        x = self._table[0][classes]
-        x += self._table[1]
-        q, k, v, h = (x[..., i * DIM : (i + 1) * DIM] for i in range(4))
-        s = np.matmul(q, k.transpose(0, 2, 1))
-        _exp(s, CAUSAL > 0)
-        s *= CAUSAL
-        mixed = np.matmul(s, v)
-        mixed /= (s.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(*classes.shape, 1)
-        mixed += h
-        z = mixed.reshape(-1, DIM) @ self.weights["u"]
-        z += self.weights["b"]
-        wanted = z[np.arange(len(z)), targets.ravel()]
-        wanted -= np.ravel(_exp(z))
-        return (wanted - np.log(z @ np.ones(z.shape[1], np.float32))).reshape(classes.shape)
-
-
-def _exp(x: np.ndarray, counts: np.ndarray | bool = True) -> np.ndarray:
-    """exp(x - shift) in place; the shift, one number unless rows differ too much for it, from the places that count."""
-    high = x.max()
-    if high - x.min() < 80:
-        shift = np.asarray(high)
-    else:
-        np.copyto(x, -np.inf, where=~np.broadcast_to(counts, x.shape))
-        shift = x.max(-1, keepdims=True)
-    x -= shift
-    np.exp(x, out=x)
-    return shift
+        w = self.weights
+        x = w["e"].take(read, 0)
+        x += w["p"]
+        q = self._table[0].take(read[:, own:], 0)
+        q += self._table[1][own:]
+        s = np.matmul(q, np.ascontiguousarray(x.transpose(0, 2, 1)))
+        _attend(s, CAUSAL[own:])
+        mixed = np.matmul(s, x)
+        mixed /= (s.reshape(-1, WINDOW) @ np.ones(WINDOW, s.dtype)).reshape(*q.shape[:2], 1)
+        h = np.matmul(mixed, w["wv"])
+        h += x[:, own:]
+        z = np.matmul(h, w["u"]).reshape(-1, len(w["b"]))
+        targets = targets.ravel()
+        wanted = z.ravel().take(np.arange(0, z.size, z.shape[1]) + targets) + w["b"].take(targets)
+        worth, shift = _soften(z, w["b"])
+        return (wanted - np.log(z @ worth) - shift).reshape(q.shape[:2])
+
+
+# Beyond it numbers are shifted before exp(), which single precision holds up to 88.
+STEADY = 40
+
+
+def _attend(s: np.ndarray, causal: np.ndarray) -> None:
+    """exp(s) in place up to a factor for each row, 0 where a place may not look."""
+    if not (s.min() > -STEADY and s.max() < STEADY):
+        np.copyto(s, -np.inf, where=causal == 0)
+        s -= s.max(-1, keepdims=True)
+    np.exp(s, out=s)
+    s *= causal
+
+
+def _soften(z: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z) in place, what each column is worth, and the logarithm of what a row times the worth leaves out of exp(z + b)."""
+    high = b.max()
+    if z.min() > -STEADY and z.max() < STEADY and high - b.min() < STEADY:
+        np.exp(z, out=z)
+        return np.exp(b - high), high
+    z += b
+    shift = z.max(1)
+    z -= shift[:, None]
+    np.exp(z, out=z)
+    return np.ones_like(b), shift
 
 
 CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
-HIDDEN = (CAUSAL - 1) * np.float32(1e9)
 
 
 def windows(starts: np.ndarray, lengths: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -357,46 +431,70 @@ def initial_weights(n_classes: int, n_units: int | None = None, seed: int = 11)
 
 
 def gradients(w: dict[str, np.ndarray], read: np.ndarray, targets: np.ndarray, live: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over the live places of windows of units read, and its gradients."""
+    """Mean loss over the live places of windows of units read, and its gradients.
+
+    Queries and keys only meet in products, so the embedded units are the keys, and queries go through both
+    matrices at once; values are mixed before they go through theirs.  What divides a row is never
+    applied to its weights or probabilities, but to the few numbers that are multiplied with them.
+    """
     scale = np.float32(1 / np.sqrt(DIM))
-    counted, n = live.ravel(), max(1, int(live.sum()))
-    wide = np.concatenate([w["wq"] * scale, w["wk"], w["wv"]], 1)
-    x = (w["e"][read] + w["p"]).reshape(-1, DIM)
-    q, k, v = np.split((x @ wide).reshape(*read.shape, 3 * DIM), 3, 2)
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    a += HIDDEN
-    a -= a.max(2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(2, keepdims=True)
-    h = x + np.matmul(a, v).reshape(-1, DIM)
-    p = h @ w["u"]
-    p += w["b"]
-    p -= p.max(1, keepdims=True)
-    np.exp(p, out=p)
-    p /= p.sum(1, keepdims=True)
-    here = np.arange(len(p)), targets.ravel()
-    loss = float(-(np.log(np.maximum(p[here], 1e-12)) * counted).sum() / n)
-    p[here] -= 1
-    p *= (counted / np.float32(n))[:, None]
-    dh = p @ w["u"].T
-    mixed = dh.reshape(*read.shape, DIM)
-    d = np.empty((*read.shape, 3 * DIM), x.dtype)
-    np.matmul(a.transpose(0, 2, 1), mixed, out=d[..., 2 * DIM :])
-    ds = np.matmul(mixed, v.transpose(0, 2, 1))
+    form = w["wq"] @ w["wk"].T * scale
+    x = w["e"].take(read, 0)
+    x += w["p"]
+    kind = x.dtype
+    q = np.matmul(x, form)
+    keys = np.ones((len(x), DIM + 1, WINDOW), kind)  # the last row meets what is taken from a whole row
+    keys[:, :DIM] = x.transpose(0, 2, 1)
+    a = np.matmul(q, keys[:, :DIM])
+    _attend(a, CAUSAL)
+    part = 1 / (a.reshape(-1, WINDOW) @ np.ones(WINDOW, kind)).reshape(*read.shape, 1)
+    mixed = np.matmul(a, x)
+    mixed *= part
+    h = np.matmul(mixed, w["wv"])
+    h += x
+    p = np.matmul(h, w["u"])
+    rows = p.reshape(-1, p.shape[2])
+    worth, _ = _soften(rows, w["b"])
+    total = rows @ worth
+    counted, n, targets = live.ravel(), max(1, int(live.sum())), targets.ravel()
+    at = np.arange(0, p.size, p.shape[2]) + targets
+    here, due = rows.ravel().take(at), total / worth.take(targets)
+    loss = float(-(np.log(np.maximum(here / due, 1e-12)) * counted).sum() / n)
+    p.reshape(-1)[at] = here - due
+    share = (counted / (n * total)).astype(kind)
+    dh = np.matmul(p, (w["u"] * worth).T)
+    dh *= share.reshape(part.shape)
+    h *= share.reshape(part.shape)
+    d = np.empty((*read.shape, DIM + 1), kind)
+    inner = np.matmul(dh, w["wv"].T)
+    inner *= part
+    d[..., :DIM] = inner
+    np.negative(np.einsum("ijk,ijk->ij", inner, mixed), out=d[..., DIM])
+    ds = np.matmul(d, keys)
     ds *= a
-    a *= ds.sum(2, keepdims=True)
-    ds -= a
-    np.matmul(ds, k, out=d[..., :DIM])
-    np.matmul(ds.transpose(0, 2, 1), q, out=d[..., DIM : 2 * DIM])
-    d = d.reshape(-1, 3 * DIM)
-    dx = dh + d @ wide.T
-    dw = x.T @ d
-    at = read.ravel()
-    e = np.stack([np.bincount(at, c, len(w["e"])) for c in np.ascontiguousarray(dx.T)], 1)
-    g = {"e": e, "p": dx.reshape(*read.shape, DIM).sum(0), "wq": dw[:, :DIM] * scale, "wk": dw[:, DIM : 2 * DIM], "wv": dw[:, 2 * DIM :], "u": h.T @ p, "b": p.sum(0)}
+    dq = np.matmul(ds, x)
+    dx = np.matmul(a.transpose(0, 2, 1), inner)
+    dx += np.matmul(ds.transpose(0, 2, 1), q)
+    dx += np.matmul(dq, form.T)
+    dx += dh
+    df = _over_windows(x, dq) * scale
+    g = {"e": _by_unit(read, dx, len(w["e"])), "p": dx.sum(0), "wq": df @ w["wk"], "wk": df.T @ w["wq"], "wv": _over_windows(mixed, dh), "u": _over_windows(h, p) * worth, "b": share @ rows * worth}
     return loss, g
 
 
+def _over_windows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The product over all places; by windows, as such narrow ones are slow in one piece."""
+    return np.matmul(a.transpose(0, 2, 1), b).sum(0)
+
+
+def _by_unit(read: np.ndarray, x: np.ndarray, n_units: int) -> np.ndarray:
+    """Sums of x by the unit read; two components go as one complex number."""
+    pairs = x.reshape(-1, DIM).view(np.result_type(x.dtype, np.complex64))
+    out = np.zeros(n_units * DIM // 2, pairs.dtype)
+    np.add.at(out, (read.reshape(-1, 1) * (DIM // 2) + np.arange(DIM // 2)).ravel(), pairs.ravel())
+    return out.view(x.dtype).reshape(-1, DIM)
+
+
 class Adam:
     """Weights and the moments of their gradients."""
 

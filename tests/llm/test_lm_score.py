@@ -256,3 +256,84 @@ def test_results_do_not_depend_on_the_number_of_buckets(documents, monkeypatch):
     monkeypatch.setattr(M, "BUCKET_BYTES", 1000)
     got = sorted(map(tuple, M.lm_score(documents).select("doc_id", "n_known", "train_tokens", "base_score").collect()))
     assert [r[:3] for r in got] == [r[:3] for r in want] and all(abs(a[3] - b[3]) < 1e-9 * abs(b[3]) for a, b in zip(got, want, strict=True))
+
+
+def test_places_that_only_serve_as_context_are_not_scored(model, monkeypatch):
+    """The scores computed are as many as windows have places beyond those that the window before has scored."""
+    made, plain = [], M.AttentionModel.window_scores
+
+    def counted(self, *a):
+        out = plain(self, *a)
+        made.append(out.size)
+        return out
+
+    monkeypatch.setattr(M.AttentionModel, "window_scores", counted)
+    model.log_probability([np.zeros(499, np.int64), np.zeros(9, np.int64)])
+    n = len(M.windows(np.array([0]), np.array([500]))[0])
+    assert sum(made) == 2 * M.WINDOW + (n - 1) * (M.WINDOW - M.OVERLAP)
+
+
+@pytest.mark.parametrize("times", [1, 12])
+def test_scores_and_gradients_of_large_weights_stay_exact(model, times):
+    """Numbers beyond what exp() holds are shifted; both ways give what double precision gives."""
+    w = {k: x * (times if k in "eub" else 1) for k, x in model.weights.items()}
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 50, n) for n in (0, 31, 90)]
+    large = M.AttentionModel(model.classes, model.inner, w)
+    want = [naive(large, d) for d in docs]
+    assert np.allclose(large.log_probability(docs), want, rtol=1e-4)
+    read, targets, live = M.training_windows(docs, model.classes, model.n_classes, overlap=0)
+    one, g = M.gradients(w, read, targets, live)
+    two, h = M.gradients({k: x.astype(np.float64) for k, x in w.items()}, read, targets, live)
+    assert math.isclose(one, two, rel_tol=1e-4)
+    assert all(np.abs(g[k] - h[k]).max() <= 1e-3 * max(np.abs(h[k]).max(), 1e-3) for k in g)
+
+
+ODD_WORDS = ["a", "ß", "\u00e9", "e\u0301", "a\u0301b", "éa", "naïve,", "÷", "×a", "..", "a.", "a.b", "a...$$$", "it's", "x1", "ﬁ", "é", "Ã", "À", "ª", "a\x1cb", "日本", "<|endoftext|>", "a" * 64, "a" * 65, "ing" * 400, "é" * 33, "-a", "a-", "\x00", "😀ok"]
+
+
+def test_ids_of_words_are_the_tokenizers():
+    from quarryline.llm.merges import ids_of_words, merges_of
+    from quarryline.llm.packing import StretchIds, piece_ids, tokenizer_file
+
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyz" * 4 + "ßäöüéèñçøÿ" + ".,!$" + "É'7½")
+    drawn = ["".join(rng.choice(letters, n)) for n in rng.integers(1, 20, 3000)]
+    path = tokenizer_file()
+    tokenizer = piece_ids(path).tokenizer
+    for words in ([], ODD_WORDS, drawn):
+        want = [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+        for merges in (merges_of(path), None):
+            ids, lengths = ids_of_words([w.encode() for w in words], StretchIds(piece_ids(path)), merges, "<u2")
+            assert lengths.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+
+
+def test_packed_documents_are_whole(spark, monkeypatch):
+    """Words, how often they occur, and ids of every document, whatever is packed at once."""
+    from quarryline.llm.packing import piece_ids, tokenizer_file
+
+    texts = [None, "", "  ", "A b a", " ".join(ODD_WORDS), "b " * 3000, "Ünder É", "b c b", None]
+    df = spark.createDataFrame([(i, t, i % 2 == 0) for i, t in enumerate(texts)], "doc_id bigint, text string, learn boolean").coalesce(1)
+    tokenizer = piece_ids(tokenizer_file()).tokenizer
+    for size, chunk, cache in ((1 << 19, 1 << 20, 1 << 20), (1, 1, 1), (40, 100, 3)):
+        monkeypatch.setattr(M, "STRETCH_BYTES", size)
+        monkeypatch.setattr(M, "CHUNK_IDS", chunk)
+        monkeypatch.setattr(M, "CACHE_WORDS", cache)
+        seen = {}
+        for r in M.pack_documents(df, tokenizer_file(), "<u2").collect():
+            words, times = M._expand(r.words, "<u4"), M._expand(r.times, "<u4")
+            ids, hashes = M._expand(r.ids, "<u2"), np.frombuffer(r.vocabulary, np.uint64)
+            n, n_ids, train = np.frombuffer(r.n_distinct, "<u4"), np.frombuffer(r.n_ids, "<u4"), np.frombuffer(r.train, bool)
+            total = Counter()
+            for k, doc in enumerate(r.doc_ids):
+                at, to = n[:k].sum(), n[: k + 1].sum()
+                own = dict(zip(hashes[np.cumsum(words[at:to])].tolist(), times[at:to].tolist(), strict=True))
+                seen[doc] = (own, int(np.frombuffer(r.n_words, "<u4")[k]), ids[n_ids[:k].sum() : n_ids[: k + 1].sum()].tolist(), bool(train[k]))
+                total.update(own if train[k] else {})
+            assert np.frombuffer(r.counts, "<u4").tolist() == [total[h] for h in hashes.tolist()]
+        import xxhash
+
+        for i, t in enumerate(texts):
+            split = (t or "").encode().lower().split()
+            ids = [x for w in split for x in tokenizer.encode(w.decode(), add_special_tokens=False).ids]
+            assert seen[i] == (Counter(map(xxhash.xxh64_intdigest, split)), len(split), ids, i % 2 == 0)
