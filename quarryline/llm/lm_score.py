@@ -56,7 +56,7 @@ from quarryline.llm.merges import ids_of_words, merges_of
 from quarryline.llm.packing import StretchIds, piece_ids, tokenizer_file, word_encoder
 
 CHUNK_IDS = 2 << 20  # ids of a chunk, which is one row of a few megabytes
-STRETCH_BYTES = 1 << 19  # of texts that are packed at once
+STRETCH_BYTES = 1 << 20  # of texts that are packed at once
 CACHE_WORDS = 350_000  # words that a task keeps ids for
 LEAST_BUCKETS = 48
 BUCKET_BYTES = 16 << 20  # of the chunks' vocabularies, gathered in one task by bucket of the word's hash
@@ -146,9 +146,12 @@ class Stretch:
 
 
 def _pack_stretch(known: Words, doc_ids: list, texts: list[bytes], train: list[bool]) -> Stretch:
-    split = [t.lower().split() for t in texts]
-    n_words = np.fromiter(map(len, split), np.int64, len(split))
-    words = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, n_words.sum())
+    n_words, parts = np.zeros(len(texts), np.int64), []
+    for k in range(0, len(texts), 64):
+        split = [t.lower().split() for t in texts[k : k + 64]]
+        n_words[k : k + 64] = list(map(len, split))
+        parts.append(np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, n_words[k : k + 64].sum()))
+    words = np.concatenate(parts)
     known.learn()
     doc = np.repeat(np.arange(len(texts)), n_words)
     ids, lengths = known.ids_of(words)
@@ -496,19 +499,21 @@ def _by_unit(read: np.ndarray, x: np.ndarray, n_units: int) -> np.ndarray:
 
 
 class Adam:
-    """Weights and the moments of their gradients."""
+    """Weights and the moments of their gradients, each in one array; ``w`` are its parts."""
 
     def __init__(self, w: dict[str, np.ndarray]) -> None:
-        self.w, self.t = {k: x.copy() for k, x in w.items()}, 0
-        self.m, self.s = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+        self.flat, self.t = np.concatenate([x.ravel() for x in w.values()]), 0
+        parts = np.split(self.flat, np.cumsum([x.size for x in w.values()])[:-1])
+        self.w = {k: part.reshape(x.shape) for (k, x), part in zip(w.items(), parts, strict=True)}
+        self.m, self.s = np.zeros_like(self.flat), np.zeros_like(self.flat)
 
     def step(self, read: np.ndarray, targets: np.ndarray, live: np.ndarray, rate: float) -> None:
         self.t += 1
-        _, g = gradients(self.w, read, targets, live)
-        for k, m in self.m.items():
-            m += 0.1 * (g[k] - m)
-            self.s[k] += 0.01 * (g[k] ** 2 - self.s[k])
-            self.w[k] -= (rate * (m / (1 - 0.9**self.t)) / (np.sqrt(self.s[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+        _, by_name = gradients(self.w, read, targets, live)
+        g = np.concatenate([by_name[k].ravel() for k in self.w])
+        self.m += 0.1 * (g - self.m)
+        self.s += 0.01 * (g**2 - self.s)
+        self.flat -= (rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.s / (1 - 0.99**self.t)) + 1e-8)).astype(self.flat.dtype)
 
 
 def train(w: dict[str, np.ndarray], read: np.ndarray, targets: np.ndarray, live: np.ndarray, steps: int, rate: float, seed: int = 5) -> dict[str, np.ndarray]:
@@ -559,9 +564,17 @@ def neighbour_counts(documents: list[np.ndarray], counts: np.ndarray) -> np.ndar
     place = np.full(n, NEIGHBOURS)
     place[top] = np.arange(len(top))
     ids, _, _ = with_end(documents, n - 1)
-    a, b = ids[:-1], ids[1:]
-    out = np.bincount(b * (2 * width) + place[a], minlength=2 * n * width)
-    out += np.bincount(a * (2 * width) + width + place[b], minlength=2 * n * width)
+    out = np.zeros(2 * n * width, np.int64)
+    near = place[ids]
+    named = np.flatnonzero(near < NEIGHBOURS)
+    for own, by, first, every in ((1, named[named < len(ids) - 1], 0, ids[1:]), (-1, named[named > 0], width, ids[:-1])):
+        at = ids[by + own] * (2 * width)
+        at += near[by]
+        at += first
+        np.add.at(out, at, 1)
+        # Neighbours that are not named are those left over.
+        rows = out.reshape(n, 2 * width)[:, first : first + width]
+        rows[:, NEIGHBOURS] = np.bincount(every, minlength=n) - rows.sum(1)
     return out.reshape(n, 2 * width)
 
 
@@ -710,14 +723,19 @@ def _round(chunks: DataFrame, kind: str, w: dict[str, np.ndarray], classes: np.n
                 if own := own[r::ROUNDS]:
                     done += pass_over(adam, own, classes, units, RATES[r])
                     ids, starts, _ = with_end(own, n_ids - 1)
-                    before = np.concatenate([[0], units[ids][:-1]])
+                    unit = units[ids]
+                    before = np.append(0, unit[:-1])
                     before[starts] = n_units
-                    total[:n_pairs] += np.bincount(before * n_units + units[ids], minlength=n_pairs)
-                    before = np.concatenate([[0], classes[ids][:-1]])
-                    before[starts] = n_classes
                     # An id that is a unit of its own is certain given the unit.
-                    shares = units[ids] >= n_units - n_classes
-                    total[n_pairs:] += np.bincount(before[shares] * n_ids + ids[shares], minlength=n_counts - n_pairs)
+                    shares = np.flatnonzero(unit >= n_units - n_classes)
+                    after = classes[ids[shares - 1]]
+                    after[before[shares] == n_units] = n_classes
+                    before *= n_units
+                    before += unit
+                    total[:n_pairs] += np.bincount(before, minlength=n_pairs)
+                    after *= n_ids
+                    after += ids[shares]
+                    np.add.at(total[n_pairs:], after, 1)
         if done:
             yield _sparse(total)
             yield _sparse(np.append(np.concatenate([adam.w[k].ravel() for k in names]).astype(np.float64) * done, done), n_counts)

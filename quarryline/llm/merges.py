@@ -43,6 +43,9 @@ class Merges:
             self.keys[at[free]], self.ranks[at[free]] = keys[free], free
             left = left[self.keys[at[left]] != keys[left]]
             at[left] = (at[left] + 1) & (len(self.keys) - 1)
+        # Ranks of two bytes, within a word and at its end.
+        one, two = np.divmod(np.arange(1 << 16), 256)
+        self.bytes = np.stack([self.rank(self.inner[one], end[two]) for end in (self.inner, self.last)])
 
     @staticmethod
     def _keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -71,7 +74,9 @@ class Merges:
         symbols = self.inner[letters]
         symbols[:, -1] = self.last[letters[:, -1]]
         rows = np.arange(len(symbols))
-        ranks = self.rank(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(len(symbols), symbols.shape[1] - 1)
+        two = letters[:, :-1].astype(np.int64) << 8 | letters[:, 1:]
+        ranks = self.bytes[0].take(two)
+        ranks[:, -1:] = self.bytes[1].take(two[:, -1:])
         while symbols.shape[1] > 1 and len(rows):
             j = ranks.argmin(1)
             best = ranks[np.arange(len(j)), j]
