@@ -163,18 +163,24 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def sparse_rows(texts: list[str], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, values) of each text."""
+def counted_rows(texts: list[str]) -> list[tuple[bytes, bytes]]:
+    """Buckets of each text and how often each occurs, in two bytes a number; counts of a text with larger ones in four."""
     out = []
     for t in texts:
         chars, starts = folded([t])
         b = ngram_buckets(chars, starts)
-        b = b[b < BUCKETS]
-        at, n = np.unique(b, return_counts=True)
-        out.append((at, n / max(len(b), 1) * idf[at]))
+        at, n = np.unique(b[b < BUCKETS], return_counts=True)
+        out.append((at.astype("<u2").tobytes(), n.astype("<u2" if n.max(initial=0) < 1 << 16 else "<u4").tobytes()))
     return out
 
 
+def sparse_row(at: bytes, n: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, values) of a text from what ``counted_rows`` says of it."""
+    n = np.frombuffer(n, "<u2" if len(n) == len(at) else "<u4").astype(np.int64)
+    at = np.frombuffer(at, "<u2")
+    return at, n / max(n.sum(), 1) * idf[at]
+
+
 def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_labels: int, epochs: int = EPOCHS, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.002, l2: float = 0.0005, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """FTRL-proximal with elastic net: weights (buckets, labels) and biases."""
     z, n = np.zeros((BUCKETS + 1, n_labels)), np.zeros((BUCKETS + 1, n_labels))
@@ -272,21 +278,21 @@ def smallest_hashes(docs: DataFrame, rows_per_language: int) -> DataFrame:
 def sample_features(sample: DataFrame, idf: np.ndarray) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
     """(language, k, buckets, values) of each row of (lang, text, k), in a fixed order.
 
-    Features are counted on executors: a row of at most a few hundred kilobytes, however
-    long its text is, comes to the driver.
+    Features are counted on executors: four bytes for each bucket of a row, at most
+    some hundred kilobytes however long its text is, come to the driver.
     """
-    shared = sample.sparkSession.sparkContext.broadcast(idf)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            rows = sparse_rows(b.column(1).to_pylist(), shared.value)
-            at, x = (pa.array([r[i].astype(t).tobytes() for r in rows], pa.binary()) for i, t in ((0, "<i4"), (1, "<f8")))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), at, x], names=["lang", "k", "at", "x"])
+            rows = counted_rows(b.column(1).to_pylist())
+            at, n = (pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), at, n], names=["lang", "k", "at", "n"])
         give_back_memory()
 
-    rows = sample.select("lang", "text", "k").mapInArrow(count, "lang string, k bigint, at binary, x binary").collect()
-    rows = sorted((r["lang"], r["k"], bytes(r["at"]), bytes(r["x"])) for r in rows)
-    return [(lang, k, np.frombuffer(at, "<i4").astype(np.int64), np.frombuffer(x, "<f8")) for lang, k, at, x in rows]
+    # As Arrow's bytes, which neither the JVM nor Python takes apart into rows.
+    rows = sample.select("lang", "text", "k").mapInArrow(count, "lang string, k bigint, at binary, n binary").toArrow()
+    rows = sorted(zip(*[rows[c].to_pylist() for c in ("lang", "k", "at", "n")], strict=True))
+    return [(lang, k, *sparse_row(at, n, idf)) for lang, k, at, n in rows]
 
 
 def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, epochs: int = EPOCHS) -> Model:

@@ -675,8 +675,8 @@ def links(docs: DataFrame, digests: bool = False) -> tuple[DataFrame, DataFrame,
     total = classes.agg(F.sum("n")).first()[0] or 0
     sums = materialise(scan.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")), "sums")
     long_from = max(LONG_FROM, math.ceil((sums.agg(F.sum("times")).first()[0] or 0) / LONG_LISTS))
-    long = sums.where(F.col("times") >= long_from).toPandas()
-    long_grams, long_times = long["gram"].to_numpy(np.int64).view(np.uint64), long["times"].to_numpy(np.int64)
+    long = sums.where(F.col("times") >= long_from).toArrow()
+    long_grams, long_times = long["gram"].to_numpy().view(np.uint64), long["times"].to_numpy()
     order = np.argsort(long_grams)
     buckets = max(1, math.ceil(total / 4 * 14 / BUCKET_BYTES))
 

@@ -1,7 +1,12 @@
+import gc
+import re
+import time
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import ascii_lower, materialise, release, shared_folder
+from quarryline.llm.common import ascii_lower, materialise, release, shared_folder, trim_driver
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -21,3 +26,27 @@ def test_tables_are_written_and_released(spark):
     assert release(spark) >= 1
     with pytest.raises(Exception, match="(?i)exist|not found"):
         df.count()
+
+
+def test_memory_that_the_driver_frees_outside_its_heap_goes_back(spark):
+    jvm = spark._jvm
+    smaps = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps")
+    if not smaps.exists() or not trim_driver(spark):
+        pytest.skip("a JVM without this command")
+
+    def held():
+        """MB in high addresses, where the heap is not."""
+        found = re.findall(r"^(?:([0-9a-f]+)-[0-9a-f]+ |Anonymous:\s+(\d+))", smaps.read_text(), re.M)
+        return sum(int(kb) for (at, _), (_, kb) in zip(found[::2], found[1::2], strict=True) if int(at, 16) >> 40) / 1024
+
+    # Many small native buffers, of which the last stays, so that malloc keeps the memory of the others.
+    made = [jvm.java.nio.ByteBuffer.allocateDirect(100_000) for _ in range(3000)]
+    before, last = held(), made.pop()
+    del made
+    gc.collect()
+    jvm.System.gc()
+    time.sleep(2)
+    kept = held()
+    materialise(spark.range(1), "one")
+    left = held()
+    assert last.capacity() == 100_000 and kept - left > 100, (before, kept, left)

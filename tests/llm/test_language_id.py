@@ -130,3 +130,15 @@ def test_few_texts_of_a_batch_are_held_at_a_time(spark):
     rows = L.predict(docs, Counted()).collect()
     assert [r.doc_id for r in rows] == list(range(1500)) and {r.text for r in rows} == {f"text {i}" for i in range(1500)}
     assert max(r.score for r in rows) <= 256
+
+
+def test_features_come_to_the_driver_in_four_bytes_a_bucket():
+    idf = np.linspace(1, 9, L.BUCKETS)
+    texts = ["", "abc", "Zwei Wörter, 3 日本", " ".join(f"word{i}" for i in range(3000)), "a" * 70_000]
+    for (at, n), text in zip(L.counted_rows(texts), texts, strict=True):
+        b = L.ngram_buckets(*L.folded([text]))
+        b = b[b < L.BUCKETS]
+        where, times = np.unique(b, return_counts=True)
+        got = L.sparse_row(at, n, idf)
+        assert (got[0] == where).all() and (got[1] == times / max(len(b), 1) * idf[where]).all()
+        assert len(at) + len(n) == (4 if len(text) < 70_000 else 6) * len(where)
