@@ -41,12 +41,14 @@ no rows; other columns are not read.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +58,7 @@ from quarryline.llm.merges import ids_of_words, merges_of
 from quarryline.llm.packing import StretchIds, piece_ids, tokenizer_file, word_encoder
 
 CHUNK_IDS = 2 << 20  # ids of a chunk, which is one row of a few megabytes
-STRETCH_BYTES = 1 << 20  # of texts that are packed at once
+STRETCH_BYTES = 2 << 20  # of texts that are packed at once
 CACHE_WORDS = 350_000  # words that a task keeps ids for
 LEAST_BUCKETS = 48
 BUCKET_BYTES = 16 << 20  # of the chunks' vocabularies, gathered in one task by bucket of the word's hash
@@ -68,7 +70,7 @@ SAMPLE_DOCS = 400
 STEPS, BATCH_WINDOWS = 300, 256
 ROUNDS, RATES = 2, (0.004, 0.001)
 SLICE_IDS = 1 << 17  # whose windows are shuffled together in a round
-SCORE_WINDOWS = 128  # as many as stay in a core's cache
+SCORE_WINDOWS = PART_WINDOWS = 128  # as many as stay in a core's cache
 SMOOTHING = 0.1
 TOWARDS = {"unit by class": 20.0, "unit by unit": 8.0, "id by class": 30.0}  # counts that the factor with less context is worth
 
@@ -76,31 +78,27 @@ TOWARDS = {"unit by class": 20.0, "unit by unit": 8.0, "id by class": 30.0}  # c
 # Packing documents: word indices, subword ids, vocabularies
 
 
-class Words(dict):
-    """Numbers of lower-case words, with the subword ids and the hash of each once ``learn`` has run.
+class Words(defaultdict):
+    """Numbers of lower-case words as they are asked for, with the subword ids and the hash of each once ``learn`` has run.
 
     The tokenizer splits at white space, so a text's ids are those of its words.
     """
 
     def __init__(self, path: str, kind: str) -> None:
-        self.path, self.new = path, []
+        super().__init__(count().__next__)
+        self.path = path
         self.ids, self.lengths, self.hashes = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        self.new.append(word)
-        return n
-
     def learn(self) -> None:
         """Takes the words met since the last time, whose numbers are already given."""
         from xxhash import xxh64_intdigest
 
-        if not self.new:
+        if len(self) == len(self.lengths):
             return
-        ids, lengths = ids_of_words(self.new, StretchIds(piece_ids(self.path)), merges_of(self.path), self.ids.dtype.str)
+        new = list(islice(reversed(self), len(self) - len(self.lengths)))[::-1]
+        ids, lengths = ids_of_words(new, StretchIds(piece_ids(self.path)), merges_of(self.path), self.ids.dtype.str)
         self.ids, self.lengths = np.append(self.ids, ids), np.append(self.lengths, lengths)
-        self.hashes = np.append(self.hashes, np.fromiter(map(xxh64_intdigest, self.new), np.uint64, len(self.new)))
-        self.new = []
+        self.hashes = np.append(self.hashes, np.fromiter(map(xxh64_intdigest, new), np.uint64, len(new)))
 
     def ids_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these words one after the other, and how many each has."""
@@ -145,13 +143,25 @@ class Stretch:
     ids: np.ndarray
 
 
+def _split(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """How many words each text has, the distinct words in lower case, and the number of each word among them."""
+    texts = [t.strip() for t in texts]
+    filled = np.array([t != b"" for t in texts], bool)
+    ends = np.cumsum([0, *(len(t) for t in texts if t)], dtype=np.int64)
+    lower = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(b"".join(texts).lower()))
+    split = pc.ascii_split_whitespace(lower)
+    n_words = np.zeros(len(texts), np.int64)
+    n_words[filled] = pc.list_value_length(split).to_numpy()
+    found = split.flatten().dictionary_encode()
+    # White space parts the words, so none holds a line feed.
+    ended = pc.binary_join_element_wise(found.dictionary, *(pa.scalar(x, pa.large_string()) for x in ("", "\n")))
+    own = ended.buffers()[2].to_pybytes().split(b"\n")[: len(ended)] if len(ended) else []
+    return n_words, own, found.indices.to_numpy()
+
+
 def _pack_stretch(known: Words, doc_ids: list, texts: list[bytes], train: list[bool]) -> Stretch:
-    n_words, parts = np.zeros(len(texts), np.int64), []
-    for k in range(0, len(texts), 64):
-        split = [t.lower().split() for t in texts[k : k + 64]]
-        n_words[k : k + 64] = list(map(len, split))
-        parts.append(np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, n_words[k : k + 64].sum()))
-    words = np.concatenate(parts)
+    n_words, own, place = _split(texts)
+    words = np.fromiter(map(known.__getitem__, own), np.int64, len(own))[place]
     known.learn()
     doc = np.repeat(np.arange(len(texts)), n_words)
     ids, lengths = known.ids_of(words)
@@ -375,43 +385,62 @@ class AttentionModel:
         x += w["p"]
         q = self._table[0].take(read[:, own:], 0)
         q += self._table[1][own:]
-        s = np.matmul(q, np.ascontiguousarray(x.transpose(0, 2, 1)))
-        _attend(s, CAUSAL[own:])
+        s, total = _attend(q, np.ascontiguousarray(x.transpose(0, 2, 1)), CAUSAL[own:])
         mixed = np.matmul(s, x)
-        mixed /= (s.reshape(-1, WINDOW) @ np.ones(WINDOW, s.dtype)).reshape(*q.shape[:2], 1)
+        mixed *= (1 / total).reshape(*q.shape[:2], 1)
         h = np.matmul(mixed, w["wv"])
         h += x[:, own:]
-        z = np.matmul(h, w["u"]).reshape(-1, len(w["b"]))
         targets = targets.ravel()
+        z = np.matmul(h, w["u"]).reshape(-1, len(w["b"]))
         wanted = z.ravel().take(np.arange(0, z.size, z.shape[1]) + targets) + w["b"].take(targets)
-        worth, shift = _soften(z, w["b"])
-        return (wanted - np.log(z @ worth) - shift).reshape(q.shape[:2])
+        _, total, _, shift = _soften(h, w["u"], w["b"], z)
+        return (wanted - np.log(total) - shift).reshape(q.shape[:2])
+
 
+# Sums of exp() within these lost nothing to what single precision holds; others are taken again with a shift.
+LEAST, MOST = 1e-17, 1e17
+STEADY = 40  # of what is added to all rows alike
 
-# Beyond it numbers are shifted before exp(), which single precision holds up to 88.
-STEADY = 40
 
+def _steady(total: np.ndarray) -> bool:
+    return bool(total.min() > LEAST and total.max() < MOST)  # not so if any is nan
 
-def _attend(s: np.ndarray, causal: np.ndarray) -> None:
-    """exp(s) in place up to a factor for each row, 0 where a place may not look."""
-    if not (s.min() > -STEADY and s.max() < STEADY):
+
+def _attend(q: np.ndarray, keys: np.ndarray, causal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(q keys) up to a factor for each row, 0 where a place may not look, and the sum of each row."""
+    ones = np.ones(WINDOW, q.dtype)
+    s = np.matmul(q, keys)
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        np.exp(s, out=s)
+        s *= causal
+        total = s.reshape(-1, WINDOW) @ ones
+    if not _steady(total):
+        s = np.matmul(q, keys)
         np.copyto(s, -np.inf, where=causal == 0)
         s -= s.max(-1, keepdims=True)
-    np.exp(s, out=s)
-    s *= causal
+        np.exp(s, out=s)
+        total = s.reshape(-1, WINDOW) @ ones
+    return s, total
 
 
-def _soften(z: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp(z) in place, what each column is worth, and the logarithm of what a row times the worth leaves out of exp(z + b)."""
+def _soften(h: np.ndarray, u: np.ndarray, b: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """exp(z) in place, where z is h u; the sum of each row times what each column is worth; that worth; the logarithm of what
+    the sum leaves out of that of exp(z + b)."""
     high = b.max()
-    if z.min() > -STEADY and z.max() < STEADY and high - b.min() < STEADY:
-        np.exp(z, out=z)
-        return np.exp(b - high), high
+    if high - b.min() < STEADY:
+        worth = np.exp(b - high)
+        with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+            np.exp(z, out=z)
+            total = z @ worth
+        if _steady(total):
+            return z, total, worth, high
+        np.matmul(h, u, out=z.reshape(*h.shape[:2], -1))
     z += b
     shift = z.max(1)
     z -= shift[:, None]
     np.exp(z, out=z)
-    return np.ones_like(b), shift
+    worth = np.ones_like(b)
+    return z, z @ worth, worth, shift
 
 
 CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
@@ -439,63 +468,80 @@ def gradients(w: dict[str, np.ndarray], read: np.ndarray, targets: np.ndarray, l
     Queries and keys only meet in products, so the embedded units are the keys, and queries go through both
     matrices at once; values are mixed before they go through theirs.  What divides a row is never
     applied to its weights or probabilities, but to the few numbers that are multiplied with them.
+    Windows go in parts that stay in a core's cache, whose sums are added.
     """
     scale = np.float32(1 / np.sqrt(DIM))
     form = w["wq"] @ w["wk"].T * scale
+    back = {"form": np.ascontiguousarray(form.T), "wv": np.ascontiguousarray(w["wv"].T)}
+    n, loss = max(1, int(live.sum())), 0.0
+    df, g = np.zeros_like(form), {k: np.zeros_like(x) for k, x in w.items() if k not in ("wq", "wk")}
+    for a in range(0, len(read), PART_WINDOWS):
+        some = slice(a, a + PART_WINDOWS)
+        loss += _add_gradients(w, form, back, read[some], targets[some], live[some], n, df, g)
+    df *= scale
+    return loss, g | {"wq": df @ w["wk"], "wk": df.T @ w["wq"]}
+
+
+def _add_gradients(w: dict[str, np.ndarray], form: np.ndarray, back: dict[str, np.ndarray], read: np.ndarray, targets: np.ndarray, live: np.ndarray, n: int, df: np.ndarray, g: dict[str, np.ndarray]) -> float:
+    """Adds what some windows have of the gradients to ``df`` (that of ``form``) and ``g``; their share of the loss."""
     x = w["e"].take(read, 0)
     x += w["p"]
     kind = x.dtype
     q = np.matmul(x, form)
     keys = np.ones((len(x), DIM + 1, WINDOW), kind)  # the last row meets what is taken from a whole row
     keys[:, :DIM] = x.transpose(0, 2, 1)
-    a = np.matmul(q, keys[:, :DIM])
-    _attend(a, CAUSAL)
-    part = 1 / (a.reshape(-1, WINDOW) @ np.ones(WINDOW, kind)).reshape(*read.shape, 1)
+    a, total = _attend(q, keys[:, :DIM], CAUSAL)
+    part = (1 / total).reshape(*read.shape, 1)
     mixed = np.matmul(a, x)
     mixed *= part
     h = np.matmul(mixed, w["wv"])
     h += x
     p = np.matmul(h, w["u"])
-    rows = p.reshape(-1, p.shape[2])
-    worth, _ = _soften(rows, w["b"])
-    total = rows @ worth
-    counted, n, targets = live.ravel(), max(1, int(live.sum())), targets.ravel()
+    rows, total, worth, _ = _soften(h, w["u"], w["b"], p.reshape(-1, p.shape[2]))
+    counted, targets = live.ravel(), targets.ravel()
     at = np.arange(0, p.size, p.shape[2]) + targets
     here, due = rows.ravel().take(at), total / worth.take(targets)
     loss = float(-(np.log(np.maximum(here / due, 1e-12)) * counted).sum() / n)
     p.reshape(-1)[at] = here - due
     share = (counted / (n * total)).astype(kind)
-    dh = np.matmul(p, (w["u"] * worth).T)
+    dh = np.matmul(p, np.ascontiguousarray((w["u"] * worth).T))
     dh *= share.reshape(part.shape)
     h *= share.reshape(part.shape)
     d = np.empty((*read.shape, DIM + 1), kind)
-    inner = np.matmul(dh, w["wv"].T)
+    inner = np.matmul(dh, back["wv"])
     inner *= part
     d[..., :DIM] = inner
-    np.negative(np.einsum("ijk,ijk->ij", inner, mixed), out=d[..., DIM])
+    d[..., DIM] = ((inner * mixed).reshape(-1, DIM) @ np.full(DIM, -1, kind)).reshape(read.shape)
     ds = np.matmul(d, keys)
     ds *= a
     dq = np.matmul(ds, x)
     dx = np.matmul(a.transpose(0, 2, 1), inner)
     dx += np.matmul(ds.transpose(0, 2, 1), q)
-    dx += np.matmul(dq, form.T)
+    dx += np.matmul(dq, back["form"])
     dx += dh
-    df = _over_windows(x, dq) * scale
-    g = {"e": _by_unit(read, dx, len(w["e"])), "p": dx.sum(0), "wq": df @ w["wk"], "wk": df.T @ w["wq"], "wv": _over_windows(mixed, dh), "u": _over_windows(h, p) * worth, "b": share @ rows * worth}
-    return loss, g
+    df += _over_windows(x, dq)
+    _add_by_unit(g["e"], read, dx)
+    g["p"] += dx.sum(0)
+    g["wv"] += _over_windows(mixed, dh)
+    g["u"] += _over_windows(h, p) * worth
+    g["b"] += share @ rows * worth
+    return loss
 
 
 def _over_windows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The product over all places; by windows, as such narrow ones are slow in one piece."""
-    return np.matmul(a.transpose(0, 2, 1), b).sum(0)
+    """The product over all places; by a few windows, as such narrow ones are slow in one piece."""
+    cut, out = len(a) // 4 * 4, np.zeros((a.shape[2], b.shape[2]), b.dtype)
+    for x, y in ((a[:cut].reshape(-1, 4 * WINDOW, a.shape[2]), b[:cut].reshape(-1, 4 * WINDOW, b.shape[2])), (a[cut:], b[cut:])):
+        if len(x):
+            out += np.matmul(x.transpose(0, 2, 1), y).sum(0)
+    return out
 
 
-def _by_unit(read: np.ndarray, x: np.ndarray, n_units: int) -> np.ndarray:
-    """Sums of x by the unit read; two components go as one complex number."""
-    pairs = x.reshape(-1, DIM).view(np.result_type(x.dtype, np.complex64))
-    out = np.zeros(n_units * DIM // 2, pairs.dtype)
-    np.add.at(out, (read.reshape(-1, 1) * (DIM // 2) + np.arange(DIM // 2)).ravel(), pairs.ravel())
-    return out.view(x.dtype).reshape(-1, DIM)
+def _add_by_unit(out: np.ndarray, read: np.ndarray, x: np.ndarray) -> None:
+    """Adds x to the rows of the units read; two components go as one complex number."""
+    kind = np.result_type(x.dtype, np.complex64)
+    at = read.reshape(-1, 1) * (DIM // 2) + np.arange(DIM // 2)
+    np.add.at(out.reshape(-1).view(kind), at.ravel(), x.reshape(-1).view(kind))
 
 
 class Adam:
@@ -567,14 +613,17 @@ def neighbour_counts(documents: list[np.ndarray], counts: np.ndarray) -> np.ndar
     out = np.zeros(2 * n * width, np.int64)
     near = place[ids]
     named = np.flatnonzero(near < NEIGHBOURS)
-    for own, by, first, every in ((1, named[named < len(ids) - 1], 0, ids[1:]), (-1, named[named > 0], width, ids[:-1])):
-        at = ids[by + own] * (2 * width)
+    every = np.bincount(ids, minlength=n)
+    for own, by, first, edge in ((1, named[named < len(ids) - 1], 0, ids[0]), (-1, named[named > 0], width, ids[-1])):
+        beside = ids[by + own]
+        at = beside * (2 * width)
         at += near[by]
         at += first
         np.add.at(out, at, 1)
-        # Neighbours that are not named are those left over.
-        rows = out.reshape(n, 2 * width)[:, first : first + width]
-        rows[:, NEIGHBOURS] = np.bincount(every, minlength=n) - rows.sum(1)
+        # Neighbours that are not named are those left over; the first id comes after none, the last before none.
+        rest = every - np.bincount(beside, minlength=n)
+        rest[edge] -= 1
+        out.reshape(n, 2 * width)[:, first + NEIGHBOURS] = rest
     return out.reshape(n, 2 * width)
 
 
@@ -646,7 +695,7 @@ def _summed(rows: DataFrame, size: int) -> np.ndarray:
 
 
 def _sparse(total: np.ndarray, first: int = 0) -> pa.RecordBatch:
-    at = np.flatnonzero(total)
+    at = np.flatnonzero(total != 0)
     return pa.RecordBatch.from_arrays([pa.array(at + first, pa.int32()), pa.array(total[at].astype(np.float64))], names=["at", "x"])
 
 
